@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.encoding import decode_corpus, encode_corpus
 from wayfold.llm.nearest import nearest_in_time
 from wayfold.llm.overlap import overlaps
 from wayfold.llm.runs import collapse_runs
+from wayfold.llm.spans import shared_parts, shared_spans
 from wayfold.llm.splits import grouped_splits, linked_sets
 from wayfold.functions.text import day, padded
 from wayfold.operators.levels import LEVELS, level_rank
@@ -94,5 +96,25 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("share", F.round(F.col("n_rows") / F.expr("sum(n_rows) OVER (PARTITION BY stratum)"), 4))
 
 
-QUERIES = {"p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_paired": p5_paired}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(read_table(spark, folder, "documents"), "text", ["doc_id"])
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each text comes back from its ids."""
+    encoded = encode_corpus(read_table(spark, folder, "documents"), "text", ["doc_id", "text"])
+    back = decode_corpus(encoded.withColumnRenamed("text", "given"), "ids", ["doc_id", "given", "ids"])
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), (F.coalesce("given", F.lit("")) == F.col("text")).alias("same"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each text that stands in others."""
+    return shared_parts(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_shares": p9_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_paired": p5_paired}
 ORACLES: dict[str, str] = {}
