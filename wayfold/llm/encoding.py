@@ -22,12 +22,10 @@ def _ids(ranks, count_only: bool):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            each = [machine.encode(texts[i].as_py()) for i in range(batch.num_rows)]
-            lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+            lengths, flat = machine.encode_many(texts.to_pylist())
             if count_only:
                 out = pa.array(lengths)
             else:
-                flat = np.concatenate([np.array(x, dtype=np.int32) for x in each]) if each else np.zeros(0, dtype=np.int32)
                 out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*kept, out], names=[*batch.schema.names[:-1], "ids"])
 

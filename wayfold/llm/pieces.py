@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 
-LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
 #: The code points of white space.
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe to stand as a piece with it.
@@ -27,29 +27,32 @@ def _classes() -> np.ndarray:
     return table
 
 
-def _starts(points: np.ndarray) -> np.ndarray:
-    """Where pieces start, for a whole text of code points."""
+def _starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces start, for code points of texts that each have one more point after them, at ``ends``."""
     n = len(points)
     kind = _classes()[points]
+    kind[ends] = END
     start = np.ones(n + 1, dtype=bool)
     np.not_equal(kind[1:], kind[:-1], out=start[1:n])
+    start[ends] = True
     # The last white space before other text stands alone, or joins that text if it is a blank.
-    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE))
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] < SPACE))
     start[last] = True
     start[last + 1] = points[last] != 0x20
     # An apostrophe that starts a piece takes an ending with it.
-    marks = np.flatnonzero((points == 0x27) & start[:n])
+    marks = np.flatnonzero((points == 0x27) & start[:n] & (kind != END))
     if len(marks):
-        ahead = np.concatenate([points, np.zeros(2, dtype=points.dtype)])
-        free = np.ones(len(marks), dtype=bool)
+        one, two = points[np.minimum(marks + 1, n - 1)], points[np.minimum(marks + 2, n - 1)]
+        one_end, two_end = kind[np.minimum(marks + 1, n - 1)] == END, kind[np.minimum(marks + 2, n - 1)] == END
+        size = np.zeros(len(marks), dtype=np.int64)
         for ending in ENDINGS:
-            hit = free.copy()
-            for j, ch in enumerate(ending):
-                hit &= ahead[marks + 1 + j] == ord(ch)
-            free &= ~hit
-            at = marks[hit]
-            start[at + 1] = False
-            start[at + 1 + len(ending)] = True
+            hit = (one == ord(ending[0])) & ~one_end
+            if len(ending) == 2:
+                hit &= (two == ord(ending[1])) & ~two_end
+            size[hit & (size == 0)] = len(ending)
+        at, size = marks[size > 0], size[size > 0]
+        start[at + 1] = False
+        start[at + 1 + size] = True
     return start
 
 
@@ -70,13 +73,23 @@ def _segments(text: str):
     yield text[a:] if a else text
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text, in order; joined they are the text again."""
-    out: list[str] = []
-    for part in _segments(text):
-        if not part:
-            continue
-        points = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
-        at = np.flatnonzero(_starts(points)).tolist()
-        out += [part[a:b] for a, b in zip(at, at[1:])]
-    return out
+def pieces_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pieces of many texts, in order, with one empty string after those of each text; and the places
+    of these.  The pieces of a text joined are the text again."""
+    whole = "\0".join([*texts, ""])
+    if not whole:
+        return [], np.zeros(0, dtype=np.int64)
+    points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
+    at = np.flatnonzero(_starts(points, ends))
+    places = np.searchsorted(at, ends)
+    bounds = at.tolist()
+    out = [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+    for i in places.tolist():
+        out[i] = ""
+    return out, places
+
+
+def parts_of(text: str) -> list[str]:
+    """A text in parts of at most about twice :data:`SEGMENT`, cut only where pieces end anyway."""
+    return [text] if len(text) <= 2 * SEGMENT else list(_segments(text))
