@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.encoding import decode_corpus, encode_corpus
+from wayfold.llm.mixing import mix_sources, mixed_shares
 from wayfold.llm.nearest import nearest_in_time
 from wayfold.llm.overlap import overlaps
 from wayfold.llm.runs import collapse_runs
@@ -107,6 +108,16 @@ def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").alias("n_tokens"), (F.coalesce("given", F.lit("")) == F.col("text")).alias("same"))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document stands in the mix."""
+    return mix_sources(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), "doc_id", "source", "text", ["repo", "kernel", "lang"])
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixed_shares(p8_mix(spark, folder), read_table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(read_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -116,5 +127,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shared_parts(read_table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p9_found": p9_found, "p9_shares": p9_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_paired": p5_paired}
+QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_paired": p5_paired}
 ORACLES: dict[str, str] = {}
