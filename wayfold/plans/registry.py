@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import measurements
+from wayfold.plans import measurements, risk
 
-_MODULES = [measurements]
+_MODULES = [measurements, risk]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in getattr(m, "ORACLES", {}).items()}
