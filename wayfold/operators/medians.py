@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.sources.checkpoints import join_small
+
 #: Size parameter of the sketches; rank error is well below one in a thousand.
 SKETCH_K = 2048
 #: Half width, as a rank, of the bracket that a sketch puts around the median: tens of error bounds.
@@ -37,7 +39,7 @@ def exact_medians(df: DataFrame, source: list[str], context: str, value: str, k:
     finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))).select(*source, F.col(value).alias("_v"))
     # Values outside the bracket fall together to one row per side before they are shuffled.
     ranked = (
-        finite.join(bounds, source)
+        join_small(finite, bounds, source)
         .select(*source, F.when(F.col("_v") < F.col("_lo"), F.lit(float("-inf"))).when(F.col("_v") > F.col("_hi"), F.lit(float("inf"))).otherwise(F.col("_v")).alias("_v"))
         .groupBy(*source, "_v")
         .agg(F.count("*").alias("_c"))

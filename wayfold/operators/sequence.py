@@ -32,9 +32,14 @@ def neighbours(df: DataFrame, keys: list[str], order: str, fields: dict[str, int
     each ``order`` of a key once (equal ones follow each other in no defined order).  Values are found
     across blocks, also across blocks that hold none.  Null field values are passed over; NaN is a
     value.  Rows of a null key form one sequence, as in any window.
+
+    The keys travel as one struct, so that null keys meet by plain equality and the rows, wide with
+    their neighbours by then, stay where the window left them when the edges are joined.
     """
-    inner = [*keys, BLOCK]
-    counted = df.withColumns({f"_upto_{f}": _over(inner, order, f"count(`{f}`)") for f in fields} | {f"_of_{f}": _over(inner, None, f"count(`{f}`)") for f in fields})
+    others = [c for c in df.columns if c not in keys]
+    given = df.select(F.struct(*keys).alias("_key"), *others)
+    inner = ["_key", BLOCK]
+    counted = given.withColumns({f"_upto_{f}": _over(inner, order, f"count(`{f}`)") for f in fields} | {f"_of_{f}": _over(inner, None, f"count(`{f}`)") for f in fields})
 
     # The first and last k values of each block, for the blocks beside it.
     head = {f: F.col(f).isNotNull() & (F.col(f"_upto_{f}") <= k) for f, k in fields.items()}
@@ -48,25 +53,23 @@ def neighbours(df: DataFrame, keys: list[str], order: str, fields: dict[str, int
         for side, where in (("head", head[f]), ("tail", tail[f])):
             gathered.append(F.sort_array(F.collect_list(F.when(where, item)), asc=side == "head").alias(f"_{side}_{f}"))
     edges = counted.filter(wanted).groupBy(*inner).agg(*gathered)
-    values = {(f, side): F.expr(f"if(size(`_{side}_{f}`) > 0, transform(`_{side}_{f}`, x -> x.v), null)").alias(f"_{side}_{f}") for f in fields for side in ("head", "tail")}
-    edges = edges.select(*inner, *values.values())
+    values = [F.expr(f"if(size(`_{side}_{f}`) > 0, transform(`_{side}_{f}`, x -> x.v), null)").alias(f"_{side}_{f}") for f in fields for side in ("head", "tail")]
+    edges = edges.select(*inner, *values)
     taken = []
     for f, k in fields.items():
         for side, call, name in (("tail", "lag", "before"), ("head", "lead", "after")):
-            taken.append(F.array_compact(F.array(*[_over(keys, BLOCK, f"{call}(`_{side}_{f}`, {j}) IGNORE NULLS") for j in range(1, k + 1)])).alias(f"_{name}_{f}"))
-    edges = edges.select(*[F.col(k).alias(f"_e_{k}") for k in inner], *taken)
+            taken.append(F.array_compact(F.array(*[_over(["_key"], BLOCK, f"{call}(`_{side}_{f}`, {j}) IGNORE NULLS") for j in range(1, k + 1)])).alias(f"_{name}_{f}"))
     beyond = " OR ".join(f"size(`_{name}_{f}`) > 0" for f in fields for name in ("before", "after"))
-    edges = edges.filter(beyond)
+    edges = edges.select(*inner, *taken).filter(beyond)
 
     # The same values inside the block, completed by those from beyond it.
-    near = df.withColumns(
+    near = given.withColumns(
         {
             f"{f}__{name}": F.array_compact(F.array(*[_over(inner, order, f"{call}(`{f}`, {j}) IGNORE NULLS") for j in range(1, k + 1)]))
             for f, k in fields.items()
             for call, name in (("lag", "prev"), ("lead", "next"))
         }
     )
-    same = F.expr(" AND ".join(f"`{k}` <=> `_e_{k}`" for k in inner))
-    out = near.join(edges, same, "left")
+    out = near.join(edges, inner, "left")
     whole = {f"{f}__{name}": F.expr(f"slice(concat(`{f}__{name}`, coalesce(flatten(`_{side}_{f}`), array())), 1, {k})") for f, k in fields.items() for name, side in (("prev", "before"), ("next", "after"))}
-    return out.select(*df.columns, *[c.alias(n) for n, c in whole.items()])
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *others, *[c.alias(n) for n, c in whole.items()])

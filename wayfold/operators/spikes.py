@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.medians import context_sketches, exact_medians, merged_quantiles
 from wayfold.operators.sequence import BLOCK, BLOCK_NS, neighbours, with_block
+from wayfold.sources.checkpoints import join_small
 
 HOUR_NS = 3_600_000_000_000
 INF = float("inf")
@@ -50,15 +51,17 @@ def _all(cols: list[Column]) -> Column:
     return out
 
 
-def readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure]) -> DataFrame:
-    """One row per (source, keys, t, values): repeated rows fall together before anything is sorted.
+def readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], block: int = BLOCK_NS) -> DataFrame:
+    """One row per (source, keys, t, values), in time blocks: repeated rows fall together before they are
+    shuffled, in the sets that are gathered per key and block (a block bounds them).
 
-    Columns: source, keys, t, the values ``v_<measure>`` (array of the parts, null for a null reading)
-    and ``f_<measure>_<i>`` (the part, null unless the whole reading is finite).
+    Columns: source, keys, t, :data:`BLOCK`, the values ``v_<measure>`` (array of the parts, null for a null
+    reading) and ``f_<measure>_<i>`` (the part, null unless the whole reading is finite).
     Rows without ``t`` are passed over.
     """
     given = df.filter(F.col(t).isNotNull()).select(source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures])
-    one = given.groupBy(*given.columns).agg(F.count("*").alias("n_rows"))
+    sets = with_block(given, t, block).groupBy(F.struct(*keys).alias("_key"), BLOCK).agg(F.collect_set(F.struct(source, t, *[f"v_{m.name}" for m in measures])).alias("_set"))
+    one = sets.select("_key", BLOCK, F.inline("_set"))
     parts = {}
     for m in measures:
         n = len(m.parts)
@@ -70,20 +73,25 @@ def readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list
 def _run_of_equals(m: Measure, need: int) -> Column:
     """Length of the run of equal values around a row, counted up to ``need`` - 1 on either side."""
     v = f"v_{m.name}"
+    near = f"get({v}__prev, 0) = {v} OR get({v}__next, 0) = {v}"
     same = [f"aggregate({v}__{side}, struct(0 AS n, true AS on), (a, x) -> struct(if(a.on AND x = {v}, a.n + 1, a.n) AS n, a.on AND x = {v} AS on), a -> a.n)" for side in ("prev", "next")]
-    return F.expr(f"1 + {same[0]} + {same[1]}")
+    return F.expr(f"CASE WHEN {near} THEN 1 + {same[0]} + {same[1]} ELSE 1 END")
 
 
-def _spike(f: str, steps: float) -> Column:
-    """Whether part ``f`` stands out from the medians of the three finite readings on either side."""
-    a, b = (f"array_sort({f}__{side})[1]" for side in ("prev", "next"))
-    far = f"{steps}D * _usual_{f}"
-    return F.expr(f"coalesce(size({f}__prev) = 3 AND size({f}__next) = 3 AND sign({f} - {a}) = sign({f} - {b}) AND abs({f} - {a}) > {far} AND abs({f} - {b}) > {far}, false)")
+def _median3(x: str, y: str, z: str) -> str:
+    return f"greatest(least({x}, {y}), least(greatest({x}, {y}), {z}))"
+
+
+def _stands_out(f: str) -> Column:
+    """By how much part ``f`` is above both or below both medians of the three finite readings on either
+    side, taken from the nearer one; null where it isn't, or where a reading is missing."""
+    a, b = (_median3(*[f"get({f}__{side}, {j})" for j in range(3)]) for side in ("prev", "next"))
+    return F.expr(f"CASE WHEN size({f}__prev) = 3 AND size({f}__next) = 3 AND sign({f} - {a}) = sign({f} - {b}) AND {f} <> {a} THEN least(abs({f} - {a}), abs({f} - {b})) END")
 
 
 def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, spike_steps: float = 9.0, block: int = BLOCK_NS) -> DataFrame:
-    """``source, keys, t, v_<measure>..., flags``: per distinct reading an array of
-    ``struct(field, impossible, frozen, spike)``, one for each measure whose reading is not null.
+    """``source, keys, t, v_<measure>..., flags``: per distinct reading with any flag an array of
+    ``struct(field, impossible, frozen, spike)``, one for each measure that is flagged.
 
     - impossible: not finite, or the measure says so;
     - frozen: one of at least ``frozen_run`` successive readings equal in all parts, unless ``still``;
@@ -95,40 +103,49 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
     Null readings and rows without ``t`` are passed over; series of null keys count as one series each;
     readings that differ at one ``t`` of a series all count, in no defined order.  Empty input gives no rows.
     """
-    one = with_block(readings(df, source, keys, t, measures), t, block)
     reach = {f"v_{m.name}": frozen_run - 1 for m in measures} | {f"f_{m.name}_{i}": 3 for m in measures for i in range(len(m.parts))}
-    seen = neighbours(one, keys, t, reach)
     parts = [(m, i, f"f_{m.name}_{i}") for m in measures for i in range(len(m.parts))]
+    one = readings(df, source, keys, t, measures, block)
 
+    last = neighbours(one, ["_key"], t, {f: 1 for _, _, f in parts})
     changes = F.array(*[F.struct(F.lit(f).alias("part"), F.abs(F.col(f) - F.get(f"{f}__prev", F.lit(0))).alias("step")) for _, _, f in parts])
-    steps = seen.select(F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), F.inline(F.filter(changes, lambda x: x["step"] > 0)))
+    steps = last.select(F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), F.inline(F.filter(changes, lambda x: x["step"] > 0))).persist()
     usual = exact_medians(steps, [source, "part"], "hour", "step")
     usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == f, F.col("median"))).alias(f"_usual_{f}") for _, _, f in parts])
+    seen = join_small(neighbours(one, ["_key"], t, reach), usual, F.expr(f"`{source}` <=> _source"), "left")
+    steps.unpersist()
 
-    judged = seen.join(usual, F.col(source).eqNullSafe(F.col("_source")), "left")
-    flags = []
+    marks, any_mark = {}, F.lit(False)
     for m in measures:
         value = F.col(f"v_{m.name}")
         xs = [F.get(value, F.lit(i)) for i in range(len(m.parts))]
-        impossible = ~_all([_finite(x) for x in xs]) | m.impossible(*xs)
-        frozen = (_run_of_equals(m, frozen_run) >= frozen_run) & ~m.still(*xs)
+        marks[f"i_{m.name}"] = F.coalesce(~_all([_finite(x) for x in xs]) | m.impossible(*xs), F.lit(False))
+        marks[f"z_{m.name}"] = F.coalesce((_run_of_equals(m, frozen_run) >= frozen_run) & ~m.still(*xs), F.lit(False))
+        any_mark = any_mark | F.col(f"i_{m.name}") | F.col(f"z_{m.name}")
+    for m in measures:
         spike = F.lit(False)
         for i in range(len(m.parts)):
-            spike = spike | _spike(f"f_{m.name}_{i}", spike_steps)
-        flags.append(F.when(value.isNotNull(), F.struct(F.lit(m.name).alias("field"), impossible.alias("impossible"), frozen.alias("frozen"), spike.alias("spike"))))
-    return judged.select(source, *keys, t, *[f"v_{m.name}" for m in measures], F.array_compact(F.array(*flags)).alias("flags"))
+            f = f"f_{m.name}_{i}"
+            spike = spike | F.coalesce(_stands_out(f) > F.lit(spike_steps) * F.col(f"_usual_{f}"), F.lit(False))
+        marks[f"s_{m.name}"] = spike
+        any_mark = any_mark | F.col(f"s_{m.name}")
+    values = [f"v_{m.name}" for m in measures]
+    kept = [source, *[F.col(f"_key.{k}").alias(k) for k in keys], t, *values]
+    judged = seen.select(*kept, *[c.alias(n) for n, c in marks.items()]).filter(any_mark)
+    flags = [F.struct(F.lit(m.name).alias("field"), F.col(f"i_{m.name}").alias("impossible"), F.col(f"z_{m.name}").alias("frozen"), F.col(f"s_{m.name}").alias("spike")) for m in measures]
+    hits = F.filter(F.array(*flags), lambda x: x["impossible"] | x["frozen"] | x["spike"])
+    return judged.select(source, *keys, t, *values, hits.alias("flags")).filter(F.size("flags") > 0)
 
 
 def flag_rows(df: DataFrame, row_id: str, source: str, keys: list[str], t: str, measures: list[Measure], **options) -> DataFrame:
     """``row_id, field, impossible, frozen, spike`` of every row with a flagged reading (see
     :func:`flag_readings`): repeated rows of a flagged reading all come back."""
-    flagged = flag_readings(df, source, keys, t, measures, **options)
-    flagged = flagged.withColumn("flags", F.filter("flags", lambda x: x["impossible"] | x["frozen"] | x["spike"])).filter(F.size("flags") > 0)
-    on = [source, *keys, t, *[f"v_{m.name}" for m in measures]]
-    flagged = flagged.select("flags", *[F.col(c).alias(f"_f_{c}") for c in on])
-    rows = df.filter(F.col(t).isNotNull()).select(F.col(row_id), source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures])
-    same = F.expr(" AND ".join(f"`{c}` <=> `_f_{c}`" for c in on))
-    return rows.join(flagged, same).select(row_id, F.inline("flags"))
+    values = [f"v_{m.name}" for m in measures]
+    # A reading is named by two independent hashes of all that makes it up: narrow rows to shuffle.
+    name = [F.xxhash64(F.lit(salt), source, *keys, t, *values).alias(f"_h{salt}") for salt in (1, 2)]
+    flagged = flag_readings(df, source, keys, t, measures, **options).select(*name, "flags")
+    rows = df.filter(F.col(t).isNotNull()).select(F.col(row_id), source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures]).select(row_id, *name)
+    return rows.join(flagged, ["_h1", "_h2"]).select(row_id, F.inline("flags"))
 
 
 def fence_rows(df: DataFrame, row_id: str, source: str, t: str, value: str, *, widen: float = 3.0, context: int = HOUR_NS, least: int = 30) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import capture, evaluation, measurements, risk
+from wayfold.plans import capture, evaluation, measurements, perception, risk
 
-_MODULES = [capture, evaluation, measurements, risk]
+_MODULES = [capture, evaluation, measurements, perception, risk]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in getattr(m, "ORACLES", {}).items()}

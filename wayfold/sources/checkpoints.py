@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -19,3 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpointed copy of ``df``: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a table counts as small.
+SMALL_ROWS = 100_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
+    """``big`` joined with a table that is usually small: it is checkpointed and counted, and broadcast only
+    if it has at most ``most`` rows; otherwise Spark joins by shuffles."""
+    held = cut(small)
+    return big.join(F.broadcast(held) if held.count() <= most else held, on, how)
