@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.encoding import VOCABULARY, count_tokens
 from wayfold.sources.checkpoints import cut
 
-#: Most labelled rows the classifier is fitted on; the first by a hash of their id.
+#: Labelled rows the classifier is fitted on: about so many at most, drawn by a hash of their id.
 TRAIN_ROWS = 20_000
 #: Hashed features of the classifier.
 FEATURES = 1 << 14
@@ -28,14 +28,17 @@ def domain_posteriors(df: DataFrame, doc_id: str, source: str, text: str, extra:
     """``doc_id, domains, posterior``: for each document without a ``source`` the probability of each label.
 
     A naive Bayes classifier over hashed words of the whole text and the values of ``extra`` columns, fitted
-    on at most ``train_rows`` labelled rows.  Without any labelled or any unlabelled row the result is empty.
+    on about ``train_rows`` labelled rows at most, drawn by a hash of the id.  Without any labelled or any unlabelled row the result is empty.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     marks = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in extra]
     given = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("label"), F.array_distinct(F.concat(words, F.array(*marks))).alias("terms"))
-    sample = given.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    labelled = df.filter(F.col(source).isNotNull()).count()
+    # About train_rows rows, by a hash of the id: no row is sorted or sent anywhere to be chosen.
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(1, labelled)) * (1 << 30))
+    sample = given.filter(F.col("label").isNotNull() & drawn)
     unlabelled = given.filter(F.col("label").isNull())
-    if not sample.take(1):
+    if not labelled or not sample.take(1):
         return unlabelled.select("doc_id", F.array().cast("array<string>").alias("domains"), F.array().cast("array<double>").alias("posterior")).limit(0)
     tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)
     model = Pipeline(stages=[StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc", handleInvalid="keep"), tf, NaiveBayes(featuresCol="features", labelCol="index")]).fit(sample)
