@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from wayfold.sources.checkpoints import cut
 from wayfold.sources.shipping import ship_package
 
-#: Characters of a seed; a window of a whole span holds ``span - SEED + 1`` of them.
-SEED = 100
+#: A seed is half a span; a window of a whole span holds ``span - seed + 1`` of them.
+SEED_SHARE = 0.5
 #: Window positions worked on at a time, so that a very long text needs no more memory than this.
 SEGMENT = 1 << 19
 #: Odd multipliers of the rolling and mixing steps.
@@ -77,12 +77,12 @@ def _code_points(text: str) -> np.ndarray:
 def anchors_of(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``start, last, anchor, context`` of a text: for each run of window positions ``start`` to ``last``
     that pick the same seed hash, that hash and the hash of all the text those windows cover."""
-    points = _code_points(text)
+    points, seed = _code_points(text), max(1, int(span * SEED_SHARE))
     found = []
     for a in range(0, len(points) - span + 1, SEGMENT):
         part = points[a : a + SEGMENT + span - 1]
         rolling = Rolling(part)
-        picked = _window_minima(rolling.grams(SEED), span - SEED + 1)
+        picked = _window_minima(rolling.grams(seed), span - seed + 1)
         start = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
         last = np.append(start[1:], len(picked)) - 1
         found.append((start + a, last + a, picked[start], rolling.of(start, last + span)))
