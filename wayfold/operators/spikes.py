@@ -56,7 +56,7 @@ def readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list
     shuffled, in the sets that are gathered per key and block (a block bounds them).
 
     Columns: source, keys, t, :data:`BLOCK`, the values ``v_<measure>`` (array of the parts, null for a null
-    reading) and ``f_<measure>_<i>`` (the part, null unless the whole reading is finite).
+    reading) and ``f_<measure>`` (the same, null unless all its parts are finite).
     Rows without ``t`` are passed over.
     """
     given = df.filter(F.col(t).isNotNull()).select(source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures])
@@ -66,7 +66,7 @@ def readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list
     for m in measures:
         n = len(m.parts)
         finite = " AND ".join(f"abs(v_{m.name}[{i}]) < double('inf')" for i in range(n))
-        parts |= {f"f_{m.name}_{i}": F.expr(f"if({finite}, v_{m.name}[{i}], null)") for i in range(n)}
+        parts[f"f_{m.name}"] = F.expr(f"if({finite}, v_{m.name}, null)")
     return one.withColumns(parts)
 
 
@@ -82,11 +82,12 @@ def _median3(x: str, y: str, z: str) -> str:
     return f"greatest(least({x}, {y}), least(greatest({x}, {y}), {z}))"
 
 
-def _stands_out(f: str) -> Column:
-    """By how much part ``f`` is above both or below both medians of the three finite readings on either
-    side, taken from the nearer one; null where it isn't, or where a reading is missing."""
-    a, b = (_median3(*[f"get({f}__{side}, {j})" for j in range(3)]) for side in ("prev", "next"))
-    return F.expr(f"CASE WHEN size({f}__prev) = 3 AND size({f}__next) = 3 AND sign({f} - {a}) = sign({f} - {b}) AND {f} <> {a} THEN least(abs({f} - {a}), abs({f} - {b})) END")
+def _stands_out(f: str, i: int) -> Column:
+    """By how much part ``i`` of ``f`` is above both or below both medians of the three finite readings on
+    either side, taken from the nearer one; null where it isn't, or where a reading is missing."""
+    x = f"{f}[{i}]"
+    a, b = (_median3(*[f"get(get({f}__{side}, {j}), {i})" for j in range(3)]) for side in ("prev", "next"))
+    return F.expr(f"CASE WHEN size({f}__prev) = 3 AND size({f}__next) = 3 AND sign({x} - {a}) = sign({x} - {b}) AND {x} <> {a} THEN least(abs({x} - {a}), abs({x} - {b})) END")
 
 
 def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, spike_steps: float = 9.0, block: int = BLOCK_NS) -> DataFrame:
@@ -103,15 +104,15 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
     Null readings and rows without ``t`` are passed over; series of null keys count as one series each;
     readings that differ at one ``t`` of a series all count, in no defined order.  Empty input gives no rows.
     """
-    reach = {f"v_{m.name}": frozen_run - 1 for m in measures} | {f"f_{m.name}_{i}": 3 for m in measures for i in range(len(m.parts))}
-    parts = [(m, i, f"f_{m.name}_{i}") for m in measures for i in range(len(m.parts))]
+    reach = {f"v_{m.name}": frozen_run - 1 for m in measures} | {f"f_{m.name}": 3 for m in measures}
+    parts = [(f"f_{m.name}", i, f"{m.name}_{i}") for m in measures for i in range(len(m.parts))]
     one = readings(df, source, keys, t, measures, block)
 
-    last = neighbours(one, ["_key"], t, {f: 1 for _, _, f in parts})
-    changes = F.array(*[F.struct(F.lit(f).alias("part"), F.abs(F.col(f) - F.get(f"{f}__prev", F.lit(0))).alias("step")) for _, _, f in parts])
+    last = neighbours(one, ["_key"], t, {f"f_{m.name}": 1 for m in measures})
+    changes = F.array(*[F.struct(F.lit(p).alias("part"), F.expr(f"abs({f}[{i}] - get(get({f}__prev, 0), {i}))").alias("step")) for f, i, p in parts])
     steps = last.select(F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), F.inline(F.filter(changes, lambda x: x["step"] > 0))).persist()
     usual = exact_medians(steps, [source, "part"], "hour", "step")
-    usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == f, F.col("median"))).alias(f"_usual_{f}") for _, _, f in parts])
+    usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"_usual_{p}") for _, _, p in parts])
     seen = join_small(neighbours(one, ["_key"], t, reach), usual, F.expr(f"`{source}` <=> _source"), "left")
     steps.unpersist()
 
@@ -125,8 +126,7 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
     for m in measures:
         spike = F.lit(False)
         for i in range(len(m.parts)):
-            f = f"f_{m.name}_{i}"
-            spike = spike | F.coalesce(_stands_out(f) > F.lit(spike_steps) * F.col(f"_usual_{f}"), F.lit(False))
+            spike = spike | F.coalesce(_stands_out(f"f_{m.name}", i) > F.lit(spike_steps) * F.col(f"_usual_{m.name}_{i}"), F.lit(False))
         marks[f"s_{m.name}"] = spike
         any_mark = any_mark | F.col(f"s_{m.name}")
     values = [f"v_{m.name}" for m in measures]

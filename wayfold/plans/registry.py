@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.plans import capture, evaluation, measurements, perception, risk, state
+from wayfold.plans import capture, evaluation, measurements, perception, quality, risk, state
 
-_MODULES = [capture, evaluation, measurements, perception, risk, state]
+_MODULES = [capture, evaluation, measurements, perception, quality, risk, state]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in getattr(m, "ORACLES", {}).items()}
