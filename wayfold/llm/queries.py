@@ -128,4 +128,28 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_paired": p5_paired}
-ORACLES: dict[str, str] = {}
+_SIDES = """recs AS (SELECT rec_no, rig_id, lower(trim(split)) AS split, CASE WHEN length(d) >= 16 AND NOT regexp_matches(d, '^0+$') THEN substr(d, 1, 16) END AS digest, list_sort(list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+'))) AS w
+ FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(sha256)), '^(sha-?256\\W*)?(0x)?', ''), '[^0-9a-f]', '', 'g') AS d FROM raw_records))"""
+_PAIRS = f"""{_SIDES}, dev AS (SELECT * FROM recs WHERE split = 'dev'), ev AS (SELECT * FROM recs WHERE split IN ('val', 'test')),
+ words AS (SELECT rec_no, split, len(w) AS n, unnest(w) AS word FROM recs WHERE len(w) >= 10 AND split IN ('dev', 'val', 'test')),
+ near AS (SELECT a.rec_no AS train_id, b.rec_no AS eval_id FROM words a JOIN words b USING (word) WHERE a.split = 'dev' AND b.split <> 'dev' GROUP BY a.rec_no, b.rec_no HAVING count(*) >= 0.7 * (max(a.n) + max(b.n) - count(*)) - 1e-9),
+ pairs AS (SELECT train_id, eval_id, max(d) AS d, max(t) AS t FROM (SELECT dev.rec_no AS train_id, ev.rec_no AS eval_id, 1 AS d, 0 AS t FROM dev JOIN ev USING (digest) UNION ALL SELECT train_id, eval_id, 0, 1 FROM near) GROUP BY 1, 2)"""
+_RANKED = """lv AS (SELECT pass_id, t_ns, max(rank) AS rank, count(*) AS n_rows FROM (SELECT pass_id, t_ns, CASE WHEN regexp_matches(b, '^[0-3]$') THEN b::INT WHEN b = '' THEN NULL WHEN starts_with('none', b) THEN 0 WHEN length(b) >= 2 AND starts_with('caution', b) THEN 1
+ WHEN starts_with('warning', b) THEN 2 WHEN length(b) >= 2 AND starts_with('critical', b) THEN 3 END AS rank FROM (SELECT *, regexp_replace(lower(alert_level), '[^a-z0-9]', '', 'g') AS b FROM risk_frames)) WHERE rank IS NOT NULL AND t_ns IS NOT NULL GROUP BY 1, 2),
+ runs AS (SELECT pass_id, max(rank) AS rank, min(t_ns) AS first_t_ns, max(t_ns) AS last_t_ns, count(*) AS n_events, sum(n_rows)::BIGINT AS n_rows FROM (SELECT *, sum(new) OVER (PARTITION BY pass_id ORDER BY t_ns) AS run FROM
+ (SELECT *, CASE WHEN rank = lag(rank) OVER w AND t_ns - lag(t_ns) OVER w <= 2000000000 THEN 0 ELSE 1 END AS new FROM lv WINDOW w AS (PARTITION BY pass_id ORDER BY t_ns))) GROUP BY pass_id, run)"""
+_NEAREST = """rows AS (SELECT 'video_frames' AS tbl, frame_row AS row_no, rig_id, t_ns FROM video_frames WHERE t_ns IS NOT NULL AND t_ns <> 0 UNION ALL SELECT 'obstacles', obs_row, rig_id, t_ns FROM obstacles WHERE t_ns IS NOT NULL AND t_ns <> 0),
+ met AS (SELECT r.tbl, r.row_no, e.ego_row, abs(e.t_ns - r.t_ns) AS dt_ns, row_number() OVER (PARTITION BY r.tbl, r.row_no ORDER BY abs(e.t_ns - r.t_ns), e.ego_row) AS k FROM rows r JOIN ego_states e ON e.rig_id = r.rig_id AND e.t_ns BETWEEN r.t_ns - 60000000 AND r.t_ns + 60000000 WHERE e.t_ns <> 0)"""
+_SETS = """n AS (SELECT rec_no, nullif(lower(trim(vehicle)), '') AS v, nullif(lower(trim(site)), '') || '|' || CASE WHEN regexp_matches(date, '^[0-9]{2}\\.') THEN substr(date, 7, 4) || substr(date, 4, 2) || substr(date, 1, 2) ELSE replace(date, '-', '') END AS s FROM raw_records),
+ keys AS (SELECT rec_no, 'v' || v AS k FROM n WHERE v IS NOT NULL UNION ALL SELECT rec_no, 's' || s FROM n WHERE s IS NOT NULL), reps AS (SELECT k, min(rec_no) AS m FROM keys GROUP BY 1), e AS (SELECT rec_no AS a, m AS b FROM keys JOIN reps USING (k) UNION SELECT m, rec_no FROM keys JOIN reps USING (k)),
+ walk(a, b) AS (SELECT rec_no, rec_no FROM raw_records UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a), sets AS (SELECT a AS rec_no, min(b) AS first_rec_no, count(*) AS size FROM walk GROUP BY 1)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_PAIRS} SELECT least(train_id, eval_id) AS rec_a, greatest(train_id, eval_id) AS rec_b FROM pairs",
+    "p1_report": f"WITH {_PAIRS} SELECT r.split, r.rig_id, count(*) AS n_pairs, sum(d)::BIGINT AS n_by_digest, sum(t)::BIGINT AS n_by_text, count(DISTINCT eval_id) AS n_rows FROM pairs JOIN recs r ON r.rec_no = eval_id GROUP BY 1, 2",
+    "p3_found": f"WITH {_RANKED} SELECT pass_id, first_t_ns, last_t_ns FROM runs WHERE n_events >= 2",
+    "p3_runs": f"WITH {_RANKED} SELECT pass_id, ['none', 'caution', 'warning', 'critical'][rank + 1] AS level, first_t_ns, last_t_ns, n_events, n_rows, round((last_t_ns - first_t_ns) / 1e9::DOUBLE, 6) AS duration_s FROM runs",
+    "p5_found": f"WITH {_NEAREST} SELECT tbl, row_no, ego_row FROM met WHERE k = 1",
+    "p5_paired": f"WITH {_NEAREST} SELECT rows.tbl, rows.row_no, ego_row, dt_ns FROM rows LEFT JOIN (SELECT * FROM met WHERE k = 1) USING (tbl, row_no)",
+    "p6_found": f"WITH RECURSIVE {_SETS} SELECT rec_no, first_rec_no FROM sets WHERE size >= 2",
+}
