@@ -57,3 +57,23 @@ def p4_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p2_fences": p2_fences, "p4_found": p4_found, "p4_series": p4_series}
+
+_EGO_SERIES = " UNION ALL ".join(f"SELECT 'ego_states' AS tbl, '{f}' AS field, ego_row AS row_no, rig_id, pass_id AS key, t_ns, [{f}] AS v FROM ego_states WHERE t_ns IS NOT NULL AND {f} IS NOT NULL" for f in ("speed_mps", "yaw_rate_radps"))
+_FLAGS = f"""src AS ({_EGO_SERIES} UNION ALL SELECT 'obstacles', 'center_veh', obs_row, rig_id, pass_id || '/' || id, t_ns, center_veh FROM obstacles WHERE t_ns IS NOT NULL AND len(center_veh) = 3),
+ one AS (SELECT DISTINCT tbl, field, rig_id, key, t_ns, v, len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AS fin FROM src),
+ fz AS (SELECT *, count(*) OVER (PARTITION BY tbl, field, rig_id, key, grp) AS run FROM (SELECT *, sum(new) OVER (PARTITION BY tbl, field, rig_id, key ORDER BY t_ns) AS grp FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY tbl, field, rig_id, key ORDER BY t_ns) THEN 0 ELSE 1 END AS new FROM one))),
+ part AS (SELECT tbl, field, rig_id, key, t_ns, v, unnest(range(1, len(v) + 1)) AS i FROM one WHERE fin),
+ near AS (SELECT *, v[i] AS x, lag(v[i]) OVER w AS p1, lag(v[i], 2) OVER w AS p2, lag(v[i], 3) OVER w AS p3, lead(v[i]) OVER w AS n1, lead(v[i], 2) OVER w AS n2, lead(v[i], 3) OVER w AS n3 FROM part WINDOW w AS (PARTITION BY tbl, field, rig_id, key, i ORDER BY t_ns)),
+ usual AS (SELECT tbl, field, rig_id, i, median(abs(x - p1)) AS u FROM near WHERE x <> p1 GROUP BY 1, 2, 3, 4),
+ sp AS (SELECT DISTINCT tbl, field, rig_id, key, t_ns, v FROM (SELECT *, list_median([p1, p2, p3]) AS a, list_median([n1, n2, n3]) AS b FROM near WHERE p3 IS NOT NULL AND n3 IS NOT NULL) JOIN usual USING (tbl, field, rig_id, i) WHERE ((x > a AND x > b) OR (x < a AND x < b)) AND abs(x - a) > 9 * u AND abs(x - b) > 9 * u),
+ judged AS (SELECT fz.tbl, fz.field, fz.rig_id, fz.key, fz.t_ns, fz.v, NOT fin OR CASE fz.field WHEN 'speed_mps' THEN abs(fz.v[1]) > 15 WHEN 'yaw_rate_radps' THEN abs(fz.v[1]) > 3 ELSE sqrt(fz.v[1] ** 2 + fz.v[2] ** 2) > 60 OR fz.v[3] < -3 OR fz.v[3] > 10 END AS impossible,
+ run >= 6 AND NOT (fz.tbl = 'ego_states' AND fz.v[1] = 0) AS frozen, sp.t_ns IS NOT NULL AS spike FROM fz LEFT JOIN sp ON fz.tbl = sp.tbl AND fz.field = sp.field AND fz.rig_id = sp.rig_id AND fz.key = sp.key AND fz.t_ns = sp.t_ns AND fz.v = sp.v),
+ hits AS (SELECT s.tbl, s.row_no, s.field, j.impossible, j.frozen, j.spike FROM src s JOIN judged j ON s.tbl = j.tbl AND s.field = j.field AND s.rig_id = j.rig_id AND s.key = j.key AND s.t_ns = j.t_ns AND s.v = j.v WHERE j.impossible OR j.frozen OR j.spike)"""
+_SLOTS = """f AS (SELECT pass_id, rig_id, t_ns FROM video_frames WHERE t_ns IS NOT NULL AND t_ns <> 0), b AS (SELECT pass_id, t0, t1, (1e9 / resample_hz)::BIGINT AS len FROM (SELECT pass_id, min(rig_id) AS rig_id, min(t_ns) AS t0, max(t_ns) AS t1 FROM f GROUP BY 1) JOIN rig_sync USING (rig_id)),
+ slots AS (SELECT pass_id, unnest(range(0, (t1 - t0) // len + 1)) AS slot, t0, len FROM b), used AS (SELECT pass_id, (t_ns - t0) // len AS slot, count(DISTINCT t_ns) AS n FROM f JOIN b USING (pass_id) GROUP BY 1, 2)"""
+
+ORACLES = {
+    "p2_found": f"WITH {_FLAGS} SELECT tbl, row_no, field FROM hits",
+    "p2_summary": f"WITH {_FLAGS} SELECT tbl, field, count_if(impossible) AS n_impossible, count_if(frozen) AS n_frozen, count_if(spike) AS n_spike, count(*) AS n_rows FROM hits GROUP BY 1, 2",
+    "p4_found": f"WITH {_SLOTS} SELECT pass_id, t0 + slot * len AS slot_t_ns FROM slots ANTI JOIN used USING (pass_id, slot)",
+}
