@@ -34,8 +34,9 @@ def neighbours(df: DataFrame, keys: list[str], order: str, fields: dict[str, int
     across blocks, also across blocks that hold none.  Null field values are passed over; NaN is a
     value.  Rows of a null key form one sequence, as in any window.
 
-    The keys travel as one struct (a single struct is taken as it is, and as it is partitioned), so that null keys meet by plain equality and the rows, wide with
-    their neighbours by then, stay where the window left them when the edges are joined.
+    The keys travel as one struct (a single struct is taken as it is, and as it is partitioned), so that
+    null keys meet by plain equality and the rows, wide with their neighbours by then, stay where the
+    window left them when the edges are joined.
     """
     others = [c for c in df.columns if c not in keys]
     ready = len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, StructType)
@@ -73,5 +74,5 @@ def neighbours(df: DataFrame, keys: list[str], order: str, fields: dict[str, int
         }
     )
     out = near.join(edges, inner, "left")
-    whole = {f"{f}__{name}": F.expr(f"slice(concat(`{f}__{name}`, coalesce(flatten(`_{side}_{f}`), array())), 1, {k})") for f, k in fields.items() for name, side in (("prev", "before"), ("next", "after"))}
+    whole = {f"{f}__{name}": F.expr(f"if(size(`{f}__{name}`) = {k} OR `_{side}_{f}` IS NULL, `{f}__{name}`, slice(concat(`{f}__{name}`, flatten(`_{side}_{f}`)), 1, {k}))") for f, k in fields.items() for name, side in (("prev", "before"), ("next", "after"))}
     return out.select(*([F.col("_key").alias(keys[0])] if ready else [F.col(f"_key.{k}").alias(k) for k in keys]), *others, *[c.alias(n) for n, c in whole.items()])

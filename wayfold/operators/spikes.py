@@ -82,12 +82,22 @@ def _median3(x: str, y: str, z: str) -> str:
     return f"greatest(least({x}, {y}), least(greatest({x}, {y}), {z}))"
 
 
-def _stands_out(f: str, i: int) -> Column:
-    """By how much part ``i`` of ``f`` is above both or below both medians of the three finite readings on
-    either side, taken from the nearer one; null where it isn't, or where a reading is missing."""
-    x = f"{f}[{i}]"
-    a, b = (_median3(*[f"get(get({f}__{side}, {j}), {i})" for j in range(3)]) for side in ("prev", "next"))
-    return F.expr(f"CASE WHEN size({f}__prev) = 3 AND size({f}__next) = 3 AND sign({x} - {a}) = sign({x} - {b}) AND {x} <> {a} THEN least(abs({x} - {a}), abs({x} - {b})) END")
+def _stands_out(m: Measure, i: int, steps: float) -> Column:
+    """Whether part ``i`` is more than ``steps`` usual steps above both or below both of the medians ``_a``
+    and ``_b`` of the three finite readings before and after it."""
+    x, far = f"f_{m.name}[{i}]", f"{steps}D * _usual_{m.name}_{i}"
+    a, b = f"{x} - _a_{m.name}_{i}", f"{x} - _b_{m.name}_{i}"
+    return F.expr(f"coalesce(abs({a}) > {far} AND abs({b}) > {far} AND sign({a}) = sign({b}), false)")
+
+
+def _medians_beside(m: Measure) -> dict[str, Column]:
+    """``_a`` and ``_b`` of each part; null where one of the three readings is missing."""
+    out = {}
+    for i in range(len(m.parts)):
+        for name, side in (("_a", "prev"), ("_b", "next")):
+            three = f"f_{m.name}__{side}"
+            out[f"{name}_{m.name}_{i}"] = F.expr(f"CASE WHEN size({three}) = 3 THEN {_median3(*[f'get(get({three}, {j}), {i})' for j in range(3)])} END")
+    return out
 
 
 def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, spike_steps: float = 9.0, block: int = BLOCK_NS) -> DataFrame:
@@ -113,7 +123,8 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
     steps = last.select(F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), F.inline(F.filter(changes, lambda x: x["step"] > 0))).persist()
     usual = exact_medians(steps, [source, "part"], "hour", "step")
     usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"_usual_{p}") for _, _, p in parts])
-    seen = join_small(neighbours(one, ["_key"], t, reach), usual, F.expr(f"`{source}` <=> _source"), "left")
+    beside = neighbours(one, ["_key"], t, reach).withColumns({n: c for m in measures for n, c in _medians_beside(m).items()})
+    seen = join_small(beside, usual, F.expr(f"`{source}` <=> _source"), "left")
     steps.unpersist()
 
     marks, any_mark = {}, F.lit(False)
@@ -126,7 +137,7 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
     for m in measures:
         spike = F.lit(False)
         for i in range(len(m.parts)):
-            spike = spike | F.coalesce(_stands_out(f"f_{m.name}", i) > F.lit(spike_steps) * F.col(f"_usual_{m.name}_{i}"), F.lit(False))
+            spike = spike | _stands_out(m, i, spike_steps)
         marks[f"s_{m.name}"] = spike
         any_mark = any_mark | F.col(f"s_{m.name}")
     values = [f"v_{m.name}" for m in measures]
