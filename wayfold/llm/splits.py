@@ -13,7 +13,7 @@ from wayfold.operators.components import connected_components
 from wayfold.sources.shipping import ship_package
 
 #: Bins of equal weight that each stratum is differenced into; a bin is the grain of the allocation.
-BINS = 20
+BINS = 40
 #: Components that one task differences at a time; more are sharded by hash.
 SHARD = 20_000
 
@@ -99,23 +99,49 @@ def balanced_bins(items: DataFrame, group: str, item: str, weight: str, *, bins:
     return first.join(second, F.col("group").eqNullSafe(F.col("_g")) & (F.concat_ws("/", "shard", "bin") == F.col("_part"))).select("group", "item", "weight", F.col("_bin").alias("bin"))
 
 
-def allocate(bins: pd.DataFrame, shares: dict[str, float]) -> pd.DataFrame:
-    """``group, bin, split``: whole bins to splits, largest bins first, each to the split that is furthest
-    below its share of the bins' own group and of all groups together."""
-    names, total = list(shares), float(bins["weight"].sum())
-    overall = dict.fromkeys(names, 0.0)
-    within = {(g, s): 0.0 for g in bins["group"] for s in names}
-    of_group = bins.groupby("group", dropna=False)["weight"].sum().to_dict()
-    out = []
-    for row in bins.sort_values(["weight", "group", "bin"], ascending=[False, True, True]).itertuples():
-        def lack(s, g=row.group):
-            return (shares[s] * of_group[g] - within[g, s]) + (shares[s] * total - overall[s])
+def allocate(parts: pd.DataFrame, shares: dict[str, float]) -> pd.DataFrame:
+    """``group, bin, split``: whole bins to splits, so that each split's share of every stratum and of all
+    rows comes as near to its target as moving or swapping single bins can bring it.
 
-        best = max(names, key=lack)
-        overall[best] += row.weight
-        within[row.group, best] += row.weight
-        out.append((row.group, row.bin, best))
-    return pd.DataFrame(out, columns=["group", "bin", "split"])
+    ``parts`` has ``group, bin, stratum, weight``: what each bin holds of each stratum.
+    """
+    names = list(shares)
+    if not len(parts):
+        return pd.DataFrame(columns=["group", "bin", "split"])
+    held = parts.pivot_table(index=["group", "bin"], columns="stratum", values="weight", aggfunc="sum", fill_value=0.0).sort_index()
+    m = held.to_numpy(dtype=float)
+    m = np.column_stack([m / m.sum(0), 2 * m.sum(1) / m.sum()])  # all rows together count double
+    goal = np.outer([shares[s] for s in names], m.sum(0))
+    have, of = np.zeros_like(goal), np.zeros(len(m), dtype=int)
+    for i in np.argsort(-m[:, -1], kind="stable"):
+        of[i] = int(((have - goal) @ m[i]).argmin())
+        have[of[i]] += m[i]
+    error = lambda h: ((h - goal) ** 2).sum()
+    for _ in range(20 * len(m)):
+        best, step = error(have) - 1e-12, None
+        for i in range(len(m)):
+            for k in range(len(names)):
+                if k != of[i]:
+                    after = have.copy()
+                    after[of[i]] -= m[i]
+                    after[k] += m[i]
+                    if (e := error(after)) < best:
+                        best, step = e, ((i, k),)
+            others = np.flatnonzero((of != of[i]) & (np.arange(len(m)) > i))
+            if len(others):
+                d = m[others] - m[i]
+                gap = have - goal
+                change = 2 * (d @ gap[of[i]]) - 2 * (d * gap[of[others]]).sum(1) + 2 * (d * d).sum(1)
+                j = int(change.argmin())
+                if error(have) + change[j] < best:
+                    best, step = error(have) + change[j], ((i, of[others[j]]), (others[j], of[i]))
+        if step is None:
+            break
+        for i, k in step:
+            have[of[i]] -= m[i]
+            have[k] += m[i]
+            of[i] = k
+    return pd.DataFrame([(g, b, names[of[i]]) for i, (g, b) in enumerate(held.index)], columns=["group", "bin", "split"])
 
 
 def grouped_splits(df: DataFrame, row_id: str, links: dict[str, Column], stratum: Column, shares: dict[str, float], *, bins: int = BINS) -> DataFrame:
@@ -123,9 +149,9 @@ def grouped_splits(df: DataFrame, row_id: str, links: dict[str, Column], stratum
 
     Linked sets are weighted by their rows and filed under the stratum that most of their rows have (the
     first in order among equals); those of each stratum are differenced into ``bins`` equal bins, and whole
-    bins are allocated to the splits by ``shares``, per stratum and overall.  A null stratum is a stratum.
+    bins are allocated to the splits by ``shares``, per stratum and overall (:func:`allocate`).  A null stratum is a stratum.
     A set larger than a bin fills one alone, so shares are met as near as such sets allow.
-    Only the summed weights of the ``bins`` bins of each stratum reach the driver.
+    Only what the ``bins`` bins of each stratum hold of each stratum reaches the driver.
     """
     rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(stratum, F.lit("")).alias("stratum"), *[c.alias(n) for n, c in links.items()])
     sets = linked_sets(rows, "row_id", {n: F.col(n) for n in links})
@@ -133,8 +159,8 @@ def grouped_splits(df: DataFrame, row_id: str, links: dict[str, Column], stratum
     by_stratum = placed.groupBy("first_id", "stratum").agg(F.count("*").alias("n"))
     whole = by_stratum.groupBy("first_id").agg(F.sum("n").alias("weight"), F.min(F.struct((-F.col("n")).alias("n"), "stratum"))["stratum"].alias("main"))
     binned = balanced_bins(whole, "main", "first_id", "weight", bins=bins)
-    sums = binned.groupBy("group", "bin").agg(F.sum("weight").alias("weight")).toPandas()
-    chosen = allocate(sums, shares)
+    held = binned.select("group", "bin", F.col("item").alias("_item")).join(by_stratum.withColumn("_item", F.col("first_id").cast("string")), "_item")
+    chosen = allocate(held.groupBy("group", "bin", "stratum").agg(F.sum("n").alias("weight")).toPandas(), shares)
     table = df.sparkSession.createDataFrame(chosen if len(chosen) else [], "group string, bin bigint, split string")
     of_set = binned.join(F.broadcast(table), ["group", "bin"]).select(F.col("item").alias("_set"), "split")
     return placed.join(of_set, F.col("first_id").cast("string") == F.col("_set")).select("row_id", "first_id", "stratum", "split")
