@@ -90,6 +90,8 @@ def test_nearest_as_brute_force(spark):
         near = [(abs(t - u), e) for e, r, u in right if None not in (rig, t, u) and r == rig and abs(t - u) <= 6]
         assert got[row] == ((min(near)[1], min(near)[0]) if near else (None, None))
     assert nearest.nearest_in_time(a, b.limit(0), "rig", "t", "ego", tolerance=6).filter("ego IS NOT NULL").count() == 0
+    clash = nearest.nearest_in_time(a.withColumn("ego", F.lit(1)).withColumn("_b", F.lit(2)), b.withColumn("row", F.lit(3)), "rig", "t", "ego", tolerance=6)
+    assert {r["row"]: r["ego"] for r in clash.collect()} == {k: v[0] for k, v in got.items()}
     assert nearest.nearest_in_time(a.limit(0), b, "rig", "t", "ego", tolerance=6).count() == 0
 
 

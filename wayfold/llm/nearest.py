@@ -11,7 +11,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, t: str, righ
 
     Only differences up to ``tolerance`` count; of equals the smallest ``right_id`` is taken; both columns
     are null where there is none, where the entity or ``t`` is null, or ``right`` is empty.  Every row of
-    ``left`` comes back once, repeated ones too.
+    ``left`` comes back once, repeated ones too; columns of ``left`` named like the two are replaced.
 
     Time falls into buckets of the tolerance's width, and rows meet on entity and bucket.  A row needs
     all instants of its own bucket but only the last one of the bucket before and the first one of the
@@ -26,8 +26,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, t: str, righ
     # Each bucket's entries go to itself and, one each, to the two beside it.
     sent = cells.select(entity, F.inline(F.expr("array(struct(_b - 1 AS _b, array(_first) AS _items), struct(_b AS _b, _all AS _items), struct(_b + 1 AS _b, array(_last) AS _items))")))
     near = sent.groupBy(entity, "_b").agg(F.flatten(F.collect_list("_items")).alias("_items"))
-    near = near.select(F.col(entity).alias("_entity"), F.col("_b").alias("_bucket"), "_items")
+    near = near.select(F.col(entity).alias("__near_entity"), F.col("_b").alias("__near_bucket"), F.col("_items").alias("__near_items"))
     bucket = F.expr(f"(`{t}` - pmod(`{t}`, {tol})) div {tol}")
-    met = left.join(near, (F.col(entity) == F.col("_entity")) & (bucket == F.col("_bucket")), "left")
-    best = F.expr(f"array_min(filter(transform(_items, x -> struct(abs(x.t - `{t}`) AS d, x.id AS id)), x -> x.d <= {tol}))")
-    return met.withColumn("_best", best).select(*left.columns, F.col("_best.id").alias(right_id), F.col("_best.d").alias("dt_ns"))
+    met = left.join(near, (F.col(entity) == F.col("__near_entity")) & (bucket == F.col("__near_bucket")), "left")
+    best = F.expr(f"array_min(filter(transform(__near_items, x -> struct(abs(x.t - `{t}`) AS d, x.id AS id)), x -> x.d <= {tol}))")
+    kept = [c for c in left.columns if c not in (right_id, "dt_ns")]
+    return met.withColumn("__near_best", best).select(*kept, F.col("__near_best.id").alias(right_id), F.col("__near_best.d").alias("dt_ns"))
