@@ -46,9 +46,11 @@ def p_contact(ttc: Column) -> Column:
     return F.when(ttc.isNull(), 0.0).otherwise(1.0)
 
 
-def exploded(frames: DataFrame) -> DataFrame:
-    """One row per component of a frame, with its place ``ord`` in the list; frames without any are left out."""
-    return frames.select("pass_id", "rig_id", "t_ns", "ego_speed_mps", F.posexplode("per_component").alias("ord", "c")).select("pass_id", "rig_id", "t_ns", "ego_speed_mps", "ord", "c.*")
+def exploded(frames: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """One row per component of a frame, with its place ``ord`` in the list; frames without any are left out,
+    or with ``keep_empty`` come as one row whose ``ord`` and component fields are null."""
+    each = (F.posexplode_outer if keep_empty else F.posexplode)("per_component").alias("ord", "c")
+    return frames.select("pass_id", "rig_id", "t_ns", "ego_speed_mps", each).select("pass_id", "rig_id", "t_ns", "ego_speed_mps", "ord", "c.*")
 
 
 def graded(distance: Column, ttc: Column, closest: Column, p: Column | None = None, *, extra_distance: float = 0.0, extra_ttc: float = 0.0) -> Column:
@@ -89,13 +91,14 @@ def obstacle_kinds(obstacles: DataFrame) -> DataFrame:
 
 def frame_risks(risks: DataFrame) -> DataFrame:
     """One row per frame: ``p_any, damage, worst, first_ttc, level, n``; the worst component is that of the
-    highest risk, the nearest among equals, then the first listed."""
+    highest risk, the nearest among equals, then the first listed.  A frame without components (exploded with
+    ``keep_empty``) has chance, damage, levels and ``n`` 0, and neither worst nor first."""
     return risks.groupBy("pass_id", "t_ns").agg(
         any_contact(p_contact(F.col("ttc_s"))).alias("p_any"),
-        F.sum("new_risk").alias("damage"),
+        F.sum(F.when(F.col("ord").isNull(), 0.0).otherwise(F.col("new_risk"))).alias("damage"),
         F.min(F.struct((-F.col("new_risk")).alias("r"), "min_distance_m", "ord", "component"))["component"].alias("worst"),
         F.min("ttc_s").alias("first_ttc"),
         F.max(graded(F.col("min_distance_m"), F.col("ttc_s"), F.col("t_closest_s"))).alias("level"),
         F.max(graded(F.col("min_distance_m"), F.col("ttc_s"), F.col("t_closest_s"), extra_distance=S.DISTANCE_BAND, extra_ttc=S.TTC_BAND)).alias("release"),
-        F.count("*").alias("n"),
+        F.count("ord").alias("n"),
     )

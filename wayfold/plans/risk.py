@@ -18,8 +18,8 @@ def distinct_frames(spark: SparkSession, folder: str) -> DataFrame:
     return frames.groupBy("pass_id", "t_ns").agg(F.min_by(F.struct(*cols), "risk_row").alias("r")).select("pass_id", "t_ns", "r.*")
 
 
-def _risks(spark: SparkSession, folder: str) -> DataFrame:
-    return R.component_risks(R.exploded(distinct_frames(spark, folder)), R.obstacle_kinds(read_table(spark, folder, "obstacles")))
+def _risks(spark: SparkSession, folder: str, keep_empty: bool = False) -> DataFrame:
+    return R.component_risks(R.exploded(distinct_frames(spark, folder), keep_empty), R.obstacle_kinds(read_table(spark, folder, "obstacles")))
 
 
 def risk_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +28,7 @@ def risk_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def risk_frames_summary(spark: SparkSession, folder: str) -> DataFrame:
-    f = R.frame_risks(_risks(spark, folder))
+    f = R.frame_risks(_risks(spark, folder, keep_empty=True))
     return f.select("pass_id", "t_ns", F.round("p_any", 6).alias("p_any"), F.round("damage", 6).alias("damage"), "worst", F.round("first_ttc", 6).alias("first_ttc"), "level", "release", "n")
 
 
@@ -47,7 +47,7 @@ def risk_by_component(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_probability_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Frames by level when probabilities grade too."""
-    c = R.exploded(distinct_frames(spark, folder))
+    c = R.exploded(distinct_frames(spark, folder), keep_empty=True)
     level = R.graded(F.col("min_distance_m"), F.col("ttc_s"), F.col("t_closest_s"), F.col("p_contact"))
     return c.groupBy("pass_id", "t_ns").agg(F.max(level).alias("level")).groupBy("level").agg(F.count("*").alias("n_frames"))
 
@@ -55,7 +55,7 @@ def risk_probability_levels(spark: SparkSession, folder: str) -> DataFrame:
 def risk_level_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Stated against recomputed level."""
     f = distinct_frames(spark, folder).select("pass_id", "t_ns", level_rank("alert_level").alias("stated"))
-    g = R.frame_risks(_risks(spark, folder)).select("pass_id", "t_ns", "level")
+    g = R.frame_risks(_risks(spark, folder, keep_empty=True)).select("pass_id", "t_ns", "level")
     return f.join(g, ["pass_id", "t_ns"], "left").groupBy("stated", "level").agg(F.count("*").alias("n_frames"))
 
 
@@ -71,8 +71,9 @@ def risk_worst_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Frames scored as one box: no component weights and no overrides, only the kind's multiplier."""
-    c = R.exploded(distinct_frames(spark, folder)).join(R.obstacle_kinds(read_table(spark, folder, "obstacles")), ["pass_id", "obstacle_id"], "left")
+    c = R.exploded(distinct_frames(spark, folder), keep_empty=True).join(R.obstacle_kinds(read_table(spark, folder, "obstacles")), ["pass_id", "obstacle_id"], "left")
     s = R.severity_for(F.col("component"), F.col("kind"), {}, {}) * R.speed_factor(F.col("ego_speed_mps")) * R.p_contact(F.col("ttc_s"))
+    s = F.when(F.col("ord").isNull(), 0.0).otherwise(s)
     return c.groupBy("pass_id", "t_ns").agg(F.round(F.max(s), 6).alias("box_risk"))
 
 

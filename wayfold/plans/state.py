@@ -15,7 +15,7 @@ from wayfold.streaming import alerts, arrivals
 
 def frame_grades(spark: SparkSession, folder: str) -> DataFrame:
     """Raw and widened level of each frame, from its components."""
-    return R.frame_risks(_risks(spark, folder)).select("pass_id", "t_ns", F.col("level").alias("raw"), "release")
+    return R.frame_risks(_risks(spark, folder, keep_empty=True)).select("pass_id", "t_ns", F.col("level").alias("raw"), "release")
 
 
 def held_alerts(spark: SparkSession, folder: str) -> DataFrame:
