@@ -31,3 +31,18 @@ def test_frames_without_components_are_graded(spark, tmp_path):
     for name in ("risk_probability_levels", "risk_level_agreement"):
         assert {r["level"]: r["n_frames"] for r in Q[name](spark, str(tmp_path)).collect()} == {0: 4, 3: 4}
     assert sorted(r["box_risk"] for r in Q["risk_baseline"](spark, str(tmp_path)).collect()) == [0.0] * 4 + [0.5] * 4
+
+
+EGO = "ego_row bigint, pass_id string, rig_id string, t_ns bigint, speed_mps double, yaw_rate_radps double"
+
+
+def test_obstacles_meet_ego_states_across_cells(spark, tmp_path):
+    """An obstacle on either side of a border of 100 ms, several states in one cell, and one too far off."""
+    ego = [(0, "p", "r", 1_090_000_000, 1.0, 0.0), (1, "p", "r", 1_310_000_000, -1.0, 0.0), (2, "p", "r", 1_390_000_000, -2.0, 0.0), (3, "p", "r", 3_000_000_000, -1.0, 0.0)]
+    at = [1_110_000_000, 1_350_000_000, 1_360_000_000, 2_939_999_999]  # 20 ms over a border; a tie; nearer the later; 1 ns beyond 60 ms
+    save(spark, tmp_path, "ego_states", ego, EGO)
+    save(spark, tmp_path, "obstacles", [(i, "p", "r", t, i, "static_geom", [-2.0, 0.0, 0.5], [0.4] * 3, None, None, "detector") for i, t in enumerate(at)], OBSTACLE)
+    got = {r["t_ns"]: r for r in Q["swept_frames"](spark, str(tmp_path)).filter("component = 'rear_bumper'").collect()}
+    assert sorted(got) == at[:3]
+    assert got[at[0]]["ttc_s"] is None and got[at[0]]["min_distance_m"] == pytest.approx(0.7)
+    assert got[at[1]]["ttc_s"] == pytest.approx(0.7, abs=0.006) and got[at[2]]["ttc_s"] == pytest.approx(0.35, abs=0.006)

@@ -9,10 +9,14 @@ from wayfold.functions import frames as G
 from wayfold.functions.text import day, digest16, padded
 from wayfold.operators import sweep
 from wayfold.operators.levels import level_rank
+from wayfold.operators.nearest import nearest_in_time
 from wayfold.plans.capture import _ego
 from wayfold.plans.perception import placed
 from wayfold.sources.tables import read_table
 
+#: How far in time an ego state may lie from an obstacle that it is swept with.
+EGO_TOLERANCE_NS = 60_000_000
+
 
 def _violations(df: DataFrame, row: str, rules: dict) -> DataFrame:
     """``rule, row_no`` of each broken rule; an unknown outcome counts as kept."""
@@ -76,13 +80,15 @@ def split_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def swept_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Reachable clearances of the vehicle's components, for obstacles and ego states of the same tenth of a second."""
-    tick = F.expr("t_ns div 100000000")
-    e = _ego(spark, folder).groupBy("pass_id", tick.alias("tick")).agg(F.min_by(F.struct("speed_mps", "yaw_rate_radps"), "t_ns").alias("r")).select("pass_id", F.col("tick").alias("t_ns"), F.col("r.speed_mps").alias("speed"), G.curvature_of(F.col("r.yaw_rate_radps"), F.col("r.speed_mps")).alias("k"))
-    e = e.select("pass_id", "t_ns", "speed", F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col("k"))).alias("curvature"))
+    """Reachable clearances of the vehicle's components at each instant of an obstacle, with the nearest ego
+    state of the pass, at most ``EGO_TOLERANCE_NS`` away (the earlier of two equally near); ``t_ns`` is the
+    obstacle's.  Instants without such a state can't be swept and have no row."""
+    k = G.curvature_of(F.col("yaw_rate_radps"), F.col("speed_mps"))
+    state = F.struct("t_ns", F.col("speed_mps").alias("speed"), F.greatest(F.lit(-0.2), F.least(F.lit(0.2), k)).alias("curvature"))
     o = placed(spark, folder).filter("forall(extent, v -> v > 0 AND v < 50) AND size(extent) = 3")
-    o = o.groupBy("pass_id", tick.alias("tick"), "id").agg(F.min_by(F.struct("x", "y", "z", "extent"), "t_ns").alias("r"))
-    o = o.select("pass_id", F.col("tick").alias("t_ns"), F.col("id").alias("obstacle_id"), "r.x", "r.y", "r.z", *[F.expr(f"r.extent[{i}]").alias(f"s{c}") for i, c in enumerate("xyz")])
+    o = o.select("pass_id", "t_ns", F.col("id").alias("obstacle_id"), "x", "y", "z", *[F.expr(f"extent[{i}]").alias(f"s{c}") for i, c in enumerate("xyz")])
+    e = nearest_in_time(o.select("pass_id", "t_ns").distinct(), _ego(spark, folder).select("pass_id", "t_ns", state.alias("state")), "pass_id", "t_ns", "state", tolerance=EGO_TOLERANCE_NS)
+    e = e.filter("state IS NOT NULL").select("pass_id", "t_ns", "state.speed", "state.curvature")
     pairs = sweep.swept_pairs(e, o, sweep.component_table(spark))
     return sweep.reachable(pairs).withColumns({c: F.round(c, 6) for c in ("min_distance_m", "ttc_s", "t_closest_s")})
 
