@@ -46,3 +46,13 @@ def test_obstacles_meet_ego_states_across_cells(spark, tmp_path):
     assert sorted(got) == at[:3]
     assert got[at[0]]["ttc_s"] is None and got[at[0]]["min_distance_m"] == pytest.approx(0.7)
     assert got[at[1]]["ttc_s"] == pytest.approx(0.7, abs=0.006) and got[at[2]]["ttc_s"] == pytest.approx(0.35, abs=0.006)
+
+
+def test_fan_of_every_state(spark, tmp_path):
+    """Forward, backward, standing; a speed without a yaw rate has its fan too."""
+    ego = [(0, "p", "r", TICK, 1.0, 0.0), (1, "p", "r", 2 * TICK, -2.0, None), (2, "p", "r", 3 * TICK, 0.05, 0.0), (3, "p", "r", 4 * TICK, None, 0.0)]
+    save(spark, tmp_path, "ego_states", ego, EGO)
+    got = {(r["t_ns"], r["curvature"], r["i"]): r for r in Q["motion_fan"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 7 * 31 + 7
+    assert got[TICK, 0.0, 30]["x"] == pytest.approx(3.0) and got[2 * TICK, 0.0, 30]["x"] == pytest.approx(-6.0)
+    assert got[2 * TICK, 0.2, 30]["heading"] == pytest.approx(-1.2) and got[3 * TICK, 0.2, 0]["x"] == 0

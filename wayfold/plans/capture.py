@@ -11,9 +11,11 @@ from wayfold.operators import timing as T
 from wayfold.sources.tables import read_table
 
 
-def _ego(spark: SparkSession, folder: str) -> DataFrame:
-    """One reading per pass and instant: of repeated rows the smallest number."""
-    e = read_table(spark, folder, "ego_states").filter("t_ns IS NOT NULL AND NOT isnan(speed_mps) AND abs(speed_mps) < 100 AND NOT isnan(yaw_rate_radps) AND abs(yaw_rate_radps) < 100")
+def _ego(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    """One reading per pass and instant: of repeated rows the smallest number.  Rows count where each of
+    ``fields`` (speed and yaw rate unless given) is set, finite and under 100; the others may be anything."""
+    usable = " AND ".join(f"NOT isnan({c}) AND abs({c}) < 100" for c in fields or ("speed_mps", "yaw_rate_radps"))
+    e = read_table(spark, folder, "ego_states").filter(f"t_ns IS NOT NULL AND {usable}")
     return e.groupBy("pass_id", "t_ns").agg(F.min_by(F.struct("rig_id", "speed_mps", "yaw_rate_radps"), "ego_row").alias("r")).select("pass_id", "t_ns", "r.*")
 
 

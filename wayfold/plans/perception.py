@@ -91,13 +91,14 @@ def pixel_rays(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def motion_fan(spark: SparkSession, folder: str) -> DataFrame:
-    """Per pass, poses along the fan of curvatures from its fastest state; one pose for a standing vehicle."""
-    e = _ego(spark, folder).groupBy("pass_id").agg(F.max(F.abs("speed_mps")).alias("v"))
+    """Poses along the fan of curvatures from each ego state, backwards where it reverses; one pose a curvature
+    for a standing vehicle."""
+    e = _ego(spark, folder, "speed_mps").select("pass_id", "t_ns", F.col("speed_mps").alias("v"))
     n = round(S.HORIZON_S / S.STEP_S)
-    f = e.select("pass_id", "v", F.explode(F.array(*[F.lit(k) for k in S.CURVATURES])).alias("curvature"))
+    f = e.select("pass_id", "t_ns", "v", F.explode(F.array(*[F.lit(k) for k in S.CURVATURES])).alias("curvature"))
     f = f.select("*", F.explode(F.when(G.is_moving(F.col("v")), F.sequence(F.lit(0), F.lit(n))).otherwise(F.array(F.lit(0)))).alias("i"))
     x, y, a = G.curved(F.col("curvature"), F.col("v") * F.col("i") * S.STEP_S)
-    return f.select("pass_id", "curvature", "i", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), F.round(a, 9).alias("heading"))
+    return f.select("pass_id", "t_ns", "curvature", "i", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), F.round(a, 9).alias("heading"))
 
 
 def path_curvatures(spark: SparkSession, folder: str) -> DataFrame:
