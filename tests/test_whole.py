@@ -56,3 +56,20 @@ def test_fan_of_every_state(spark, tmp_path):
     assert len(got) == 2 * 7 * 31 + 7
     assert got[TICK, 0.0, 30]["x"] == pytest.approx(3.0) and got[2 * TICK, 0.0, 30]["x"] == pytest.approx(-6.0)
     assert got[2 * TICK, 0.2, 30]["heading"] == pytest.approx(-1.2) and got[3 * TICK, 0.2, 0]["x"] == 0
+
+
+def test_every_component_has_its_overlap(spark, tmp_path):
+    near = lambda c: [(c, 0.1, None, None, 0.0, 1.0, 0.0, 1)]
+    said = [("front_left_wheel", "front_left_wheel"), ("front_left_wheel", "rear_right_bumper_corner"), (None, "underbody"), ("something_new", "underbody")]
+    rows = [(i, "p", "r", (i + 1) * TICK, 1.0, near(c), 0.0, 0.0, w, "none") for i, (w, c) in enumerate(said)]
+    save(spark, tmp_path, "risk_frames", rows, RISK)
+    got = {r["class"]: (r["iou"], r["n_union"]) for r in Q["level_iou"](spark, str(tmp_path)).collect()}
+    assert got == {"front_left_wheel": (0.5, 2), "rear_right_bumper_corner": (0.0, 1), "underbody": (0.0, 2), "something_new": (0.0, 1)}
+
+
+def test_every_record_has_its_id(spark, tmp_path):
+    dates = ["2018-01-02", "02.01.2018", "20180102", None, "soon", "2018-13-45"]
+    save(spark, tmp_path, "raw_records", [(i, f"pole_{i}", "video", "A b.mp4", d) for i, d in enumerate(dates)], "rec_no bigint, id string, kind string, source_name string, date string")
+    got = {r["rec_no"]: r for r in Q["record_ids"](spark, str(tmp_path)).collect()}
+    assert [got[i]["made_id"] for i in range(6)] == ["video_20180102_a_b_00", "video_20180102_a_b_01", "video_20180102_a_b_02", None, None, None]
+    assert all(r["made_stratum"] == "pole" and r["made_split"] in ("dev", "test") for r in got.values())

@@ -42,9 +42,12 @@ def first_flags(frames: DataFrame, key: str, t: str, on: Column, keep: list[str]
     return frames.filter(F.coalesce(on, F.lit(False))).groupBy(key).agg(F.min_by(F.struct(t, *keep), t).alias("f")).select(key, F.col(f"f.{t}").alias("first_ns"), *[F.col(f"f.{c}").alias(c) for c in keep])
 
 
-def iou_per_class(df: DataFrame, predicted: str, truth: str, classes: list[str]) -> DataFrame:
-    """``class, iou, n_union`` of the given classes; those in neither column are left out; null is no class."""
-    c = df.select(F.explode(F.array(*[F.lit(x) for x in classes])).alias("class"), F.col(predicted).alias("p"), F.col(truth).alias("t"))
+def iou_per_class(df: DataFrame, predicted: str, truth: str, classes: list[str] | None = None) -> DataFrame:
+    """``class, iou, n_union`` of the given classes, or of all in either column; those in neither column are left
+    out; null is no class."""
+    pt = df.select(F.col(predicted).alias("p"), F.col(truth).alias("t"))
+    named = F.array_distinct(F.array("p", "t")) if classes is None else F.array(*[F.lit(x) for x in classes])
+    c = pt.select(F.explode(named).alias("class"), "p", "t").filter("class IS NOT NULL")
     hit = (F.coalesce(F.col("p") == F.col("class"), F.lit(False)), F.coalesce(F.col("t") == F.col("class"), F.lit(False)))
     g = c.groupBy("class").agg(F.count_if(hit[0] & hit[1]).alias("n_both"), F.count_if(hit[0] | hit[1]).alias("n_union"))
     return g.filter("n_union > 0").select("class", (F.col("n_both") / F.col("n_union")).alias("iou"), "n_union")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import settings as S
-from wayfold.functions.text import digest16, padded
+from wayfold.functions.text import day, digest16, padded
 from wayfold.operators import timing as T
 from wayfold.sources.tables import read_table
 
@@ -76,11 +76,12 @@ def dead_reckoning(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids, strata and hash splits made anew for records with an ISO date."""
-    r = read_table(spark, folder, "raw_records").filter(r"date RLIKE '^\\d{4}-\\d{2}-\\d{2}$'")
-    made = T.raw_id(F.col("kind"), F.regexp_replace("source_name", r"\.[^.]*$", ""), F.to_date("date"), F.col("rec_no") % 100)
+    """Ids, strata and hash splits made anew for every record; without a date that can be read the id is null."""
+    r = read_table(spark, folder, "raw_records")
+    made_on = F.to_date(F.try_to_timestamp(day("date"), F.lit("yyyyMMdd")))
+    made = T.raw_id(F.col("kind"), F.regexp_replace("source_name", r"\.[^.]*$", ""), made_on, F.col("rec_no") % 100)
     stratum = T.inferred_stratum(F.col("id"))
-    return r.select("rec_no", made.alias("made_id"), stratum.alias("made_stratum"), T.assigned_split(F.col("id"), stratum).alias("made_split"))
+    return r.select("rec_no", F.when(made_on.isNotNull(), made).alias("made_id"), stratum.alias("made_stratum"), T.assigned_split(F.col("id"), stratum).alias("made_split"))
 
 
 def digest_copies(spark: SparkSession, folder: str) -> DataFrame:

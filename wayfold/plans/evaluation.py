@@ -85,8 +85,8 @@ def level_iou(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap of the worst component stated with the one recomputed, per component."""
     f = distinct_frames(spark, folder)
     near = R.exploded(f).groupBy("pass_id", "t_ns").agg(F.min(F.struct("min_distance_m", "ord", "component"))["component"].alias("nearest"))
-    names = ["front_bumper", "rear_bumper", "left_mirror", "right_mirror", "underbody", "front_door_right", "liftgate"]
-    return E.iou_per_class(f.select("pass_id", "t_ns", "worst_component").join(near, ["pass_id", "t_ns"]), "worst_component", "nearest", names).withColumn("iou", F.round("iou", 6))
+    pairs = f.select("pass_id", "t_ns", "worst_component").join(near, ["pass_id", "t_ns"])
+    return E.iou_per_class(pairs, "worst_component", "nearest").withColumn("iou", F.round("iou", 6))
 
 
 def metric_report(spark: SparkSession, folder: str) -> DataFrame:
