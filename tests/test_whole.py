@@ -73,3 +73,30 @@ def test_every_record_has_its_id(spark, tmp_path):
     got = {r["rec_no"]: r for r in Q["record_ids"](spark, str(tmp_path)).collect()}
     assert [got[i]["made_id"] for i in range(6)] == ["video_20180102_a_b_00", "video_20180102_a_b_01", "video_20180102_a_b_02", None, None, None]
     assert all(r["made_stratum"] == "pole" and r["made_split"] in ("dev", "test") for r in got.values())
+
+
+def test_readings_count_by_the_field_used(spark, tmp_path):
+    """Each state has one field that can't be used; the other one still counts."""
+    s = 10**9
+    ego = [(0, "p", "r", s, 0.0, 0.1), (1, "p", "r", 2 * s, 4.0, None), (2, "p", "r", 3 * s, float("nan"), 0.3), (3, "p", "r", 4 * s, 0.0, 500.0)]
+    save(spark, tmp_path, "ego_states", ego, EGO)
+    save(spark, tmp_path, "video_frames", [("p", 3 * s // 2), ("p", 3 * s)], "pass_id string, t_ns bigint")
+    assert {r["t_ns"]: r["speed_mps"] for r in Q["speed_at_frames"](spark, str(tmp_path)).collect()} == {3 * s // 2: 2.0, 3 * s: 2.0}
+    assert [tuple(r) for r in Q["yaw_turned"](spark, str(tmp_path)).collect()] == [("p", 2, 0.4)]
+
+
+def test_lags_are_sought_as_far_as_the_rig_states(spark, tmp_path):
+    """One bump of speed, 4 s earlier in the risk frames: found by the rig that allows 5 s, not by that of 1 s."""
+    bump = lambda i: float(max(0, 6 - abs(i - 40)))
+    cells = {"a": ("far", 200), "b": ("near", 200), "c": ("slow", 400)}
+    ego, risk = [], []
+    for p, (rig, ms) in cells.items():
+        for i in range(120):
+            ego.append((len(ego), p, rig, (i * ms + 1) * 1_000_000, bump(i), None))
+            risk.append((len(risk), p, rig, (i * ms + 1) * 1_000_000, bump(i + 4000 // ms), [], 0.0, 0.0, None, "none"))
+    save(spark, tmp_path, "ego_states", ego, EGO)
+    save(spark, tmp_path, "risk_frames", risk, RISK)
+    save(spark, tmp_path, "rig_sync", [("far", 5.0, 5.0), ("near", 5.0, 1.0), ("slow", 2.5, 5.0)], "rig_id string, resample_hz double, max_offset_s double")
+    got = {r["pass_id"]: (r["lag"], r["lag_s"]) for r in Q["clock_lags"](spark, str(tmp_path)).collect()}
+    assert got["a"] == (20, pytest.approx(4.0, abs=0.1)) and got["c"] == (10, pytest.approx(4.0, abs=0.2))
+    assert "b" not in got or abs(got["b"][0]) <= 5

@@ -57,17 +57,19 @@ def interpolated(samples: DataFrame, grid: DataFrame, key: str, t: str, value: s
     return met.select(key, t, v.alias(value))
 
 
-def lag_correlations(left: DataFrame, right: DataFrame, key: str, i: str, value: str, most_lag: int) -> DataFrame:
-    """``key, lag, corr``: the cross-correlation of two signals on one grid, per key, at lags -most..most.
+def lag_correlations(left: DataFrame, right: DataFrame, key: str, i: str, value: str, most_lag: int | str) -> DataFrame:
+    """``key, lag, corr``: the cross-correlation of two signals on one grid, per key, at lags -most..most
+    (``most_lag`` is a number, or the column of ``left`` that has it, the same throughout a key).
     Signals are brought to mean 0 and population deviation 1 (a flat one to 0); the sum runs over the
     overlap and is divided by the number of points of the left signal."""
-    def normal(df: DataFrame, name: str) -> DataFrame:
+    def normal(df: DataFrame, name: str, most: Column) -> DataFrame:
         st = df.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count("*").alias("_n"))
         z = F.when(F.col("_s") < 1e-12, 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_s"))
-        return df.join(st, key).select(key, F.col(i).alias(f"i_{name}"), z.alias(f"z_{name}"), F.col("_n").alias(f"n_{name}"))
+        return df.join(st, key).select(key, F.col(i).alias(f"i_{name}"), z.alias(f"z_{name}"), F.col("_n").alias(f"n_{name}"), most.alias(f"most_{name}"))
 
-    a = normal(left, "a").withColumn("lag", F.explode(F.sequence(F.lit(-most_lag), F.lit(most_lag)))).withColumn("i_b", F.col("i_a") - F.col("lag"))
-    met = a.join(normal(right, "b"), [key, "i_b"])
+    most = F.col(most_lag) if isinstance(most_lag, str) else F.lit(most_lag)
+    a = normal(left, "a", most).withColumn("lag", F.explode(F.sequence(-F.col("most_a"), F.col("most_a")))).withColumn("i_b", F.col("i_a") - F.col("lag"))
+    met = a.join(normal(right, "b", F.lit(0)), [key, "i_b"])
     return met.groupBy(key, "lag").agg((F.sum(F.col("z_a") * F.col("z_b")) / F.max("n_a")).alias("corr"))
 
 

@@ -43,26 +43,39 @@ def stream_checks(spark: SparkSession, folder: str) -> DataFrame:
 def speed_at_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Ego speed interpolated at the instants of the frames of the same pass."""
     grid = read_table(spark, folder, "video_frames").filter("t_ns > 0").select("pass_id", "t_ns").distinct()
-    return _rounded(T.interpolated(_ego(spark, folder), grid, "pass_id", "t_ns", "speed_mps"), "speed_mps")
+    return _rounded(T.interpolated(_ego(spark, folder, "speed_mps"), grid, "pass_id", "t_ns", "speed_mps"), "speed_mps")
 
 
-def _second_grid(df: DataFrame, value: str) -> DataFrame:
-    """Mean of a value per pass and 200 ms cell, counted from the pass's first."""
-    start = df.groupBy("pass_id").agg(F.min("t_ns").alias("_t0"))
-    cells = df.join(start, "pass_id").select("pass_id", F.expr("(t_ns - _t0) div 200000000").cast("int").alias("i"), F.col(value).alias("v"))
-    return cells.groupBy("pass_id", "i").agg(F.round(F.avg("v"), 9).alias("v"))
+def _searches(spark: SparkSession, folder: str) -> DataFrame:
+    """``pass_id, cell_ns, most``: the cell of a pass by its rig's ``resample_hz``, and the most cells of lag by its
+    ``max_offset_s``; 5 a second and 2 s where the rig states none."""
+    rigs = read_table(spark, folder, "ego_states").groupBy("pass_id").agg(F.min("rig_id").alias("rig_id"))
+    sync = read_table(spark, folder, "rig_sync").groupBy("rig_id").agg(F.max("resample_hz").alias("hz"), F.max("max_offset_s").alias("s"))
+    hz, most_s = F.coalesce(F.when(F.col("hz") > 0, F.col("hz")), F.lit(5.0)), F.coalesce(F.when(F.col("s") > 0, F.col("s")), F.lit(2.0))
+    return rigs.join(sync, "rig_id", "left").select("pass_id", F.round(1e9 / hz).cast("bigint").alias("cell_ns"), F.round(most_s * hz).cast("int").alias("most"))
+
+
+def _cell_grid(df: DataFrame, value: str, searches: DataFrame) -> DataFrame:
+    """Mean of a value per pass and cell, counted from the pass's first."""
+    start = df.groupBy("pass_id").agg(F.min("t_ns").alias("_t0")).join(searches, "pass_id")
+    cells = df.join(start, "pass_id").select("pass_id", "most", F.expr("(t_ns - _t0) div cell_ns").cast("int").alias("i"), F.col(value).alias("v"))
+    return cells.groupBy("pass_id", "most", "i").agg(F.round(F.avg("v"), 9).alias("v"))
 
 
 def clock_lags(spark: SparkSession, folder: str) -> DataFrame:
-    """Lag at which the speed in ego states and in risk frames of a pass correlate best, in cells of 200 ms."""
+    """Lag at which the speed in ego states and in risk frames of a pass correlate best: in cells of its rig's
+    resampling, within its rig's largest offset, and refined in seconds."""
+    searches = _searches(spark, folder)
     frames = read_table(spark, folder, "risk_frames").filter("t_ns IS NOT NULL AND ego_speed_mps IS NOT NULL").groupBy("pass_id", "t_ns").agg(F.min("ego_speed_mps").alias("v"))
-    corr = T.lag_correlations(_second_grid(_ego(spark, folder), "speed_mps"), _second_grid(frames, "v"), "pass_id", "i", "v", 10).withColumn("corr", F.round("corr", 6))
-    return _rounded(T.best_lag(corr, "pass_id").filter("corr > 0"), "lag_refined")
+    ego = _cell_grid(_ego(spark, folder, "speed_mps"), "speed_mps", searches)
+    corr = T.lag_correlations(ego, _cell_grid(frames, "v", searches), "pass_id", "i", "v", "most").withColumn("corr", F.round("corr", 6))
+    best = T.best_lag(corr, "pass_id").filter("corr > 0").join(searches.select("pass_id", "cell_ns"), "pass_id")
+    return _rounded(best.withColumn("lag_s", F.col("lag_refined") * F.col("cell_ns") / 1e9).drop("cell_ns"), "lag_refined", "lag_s")
 
 
 def yaw_turned(spark: SparkSession, folder: str) -> DataFrame:
     """Heading change of each pass by its yaw rates."""
-    turned = T.trapezoid(_ego(spark, folder), "pass_id", "t_ns", "yaw_rate_radps")
+    turned = T.trapezoid(_ego(spark, folder, "yaw_rate_radps"), "pass_id", "t_ns", "yaw_rate_radps")
     return turned.groupBy("pass_id").agg(F.count("*").alias("n"), F.round(F.max_by("turned", "t_ns"), 5).alias("turned"))
 
 
