@@ -70,7 +70,8 @@ def risk_worst_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def risk_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Frames scored as one box: no component weights and no overrides, only the kind's multiplier."""
+    """Frames scored without component weights and overrides, only by the kind's multiplier, from the contacts of
+    the components; the reference's one box around them isn't swept."""
     c = R.exploded(distinct_frames(spark, folder), keep_empty=True).join(R.obstacle_kinds(read_table(spark, folder, "obstacles")), ["pass_id", "obstacle_id"], "left")
     s = R.severity_for(F.col("component"), F.col("kind"), {}, {}) * R.speed_factor(F.col("ego_speed_mps")) * R.p_contact(F.col("ttc_s"))
     s = F.when(F.col("ord").isNull(), 0.0).otherwise(s)
