@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.medians import context_sketches, exact_medians, merged_quantiles
 from wayfold.operators.sequence import BLOCK, BLOCK_NS, neighbours, with_block
-from wayfold.sources.checkpoints import join_small
+from wayfold.sources.checkpoints import join_small, written
 
 HOUR_NS = 3_600_000_000_000
 INF = float("inf")
@@ -82,27 +82,49 @@ def _median3(x: str, y: str, z: str) -> str:
     return f"greatest(least({x}, {y}), least(greatest({x}, {y}), {z}))"
 
 
-def _stands_out(m: Measure, i: int, steps: float) -> Column:
-    """Whether part ``i`` is more than ``steps`` usual steps above both or below both of the medians ``_a``
-    and ``_b`` of the three finite readings before and after it."""
-    x, far = f"f_{m.name}[{i}]", f"{steps}D * _usual_{m.name}_{i}"
-    a, b = f"{x} - _a_{m.name}_{i}", f"{x} - _b_{m.name}_{i}"
-    return F.expr(f"coalesce(abs({a}) > {far} AND abs({b}) > {far} AND sign({a}) = sign({b}), false)")
+def _beside(m: Measure, i: int, side: str) -> str:
+    """The median of the three finite values of part ``i`` before (``prev``) or after (``next``); null where one is missing."""
+    three = f"f_{m.name}__{side}"
+    return f"if(size({three}) = 3, {_median3(*[f'get(get({three}, {j}), {i})' for j in range(3)])}, null)"
 
 
-def _medians_beside(m: Measure) -> dict[str, Column]:
-    """``_a`` and ``_b`` of each part; null where one of the three readings is missing."""
-    out = {}
+def _margins(m: Measure, seen: DataFrame) -> DataFrame:
+    """``m_<measure>_<part>``: how far a part lies above both or below both of the medians beside it; else null."""
     for i in range(len(m.parts)):
-        for name, side in (("_a", "prev"), ("_b", "next")):
-            three = f"f_{m.name}__{side}"
-            out[f"{name}_{m.name}_{i}"] = F.expr(f"CASE WHEN size({three}) = 3 THEN {_median3(*[f'get(get({three}, {j}), {i})' for j in range(3)])} END")
-    return out
+        x = f"f_{m.name}[{i}]"
+        seen = seen.withColumns({"_a": F.expr(f"{x} - {_beside(m, i, 'prev')}"), "_b": F.expr(f"{x} - {_beside(m, i, 'next')}")})
+        seen = seen.withColumn(f"m_{m.name}_{i}", F.expr("CASE WHEN sign(_a) = sign(_b) THEN least(abs(_a), abs(_b)) END")).drop("_a", "_b")
+    return seen
+
 
+def _names(source: str, keys: list, t: str, measures: list[Measure]) -> list[Column]:
+    """Two independent hashes of all that makes up a reading: its name, in narrow rows."""
+    return [F.xxhash64(F.lit(salt), source, *keys, t, *[f"v_{m.name}" for m in measures]).alias(f"_h{salt}") for salt in (1, 2)]
 
-def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, spike_steps: float = 9.0, block: int = BLOCK_NS) -> DataFrame:
-    """``source, keys, t, v_<measure>..., flags``: per distinct reading with any flag an array of
-    ``struct(field, impossible, frozen, spike)``, one for each measure that is flagged.
+
+def weighed_readings(df: DataFrame, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, block: int = BLOCK_NS) -> DataFrame:
+    """One narrow row per distinct reading, with all that tells whether it is implausible but the usual step.
+
+    Columns: source, ``hour``, the two hashes of :func:`_names`, per measure ``i_`` and ``z_`` (impossible,
+    frozen), per part ``s_`` (the absolute step from the finite reading before it) and ``m_`` (:func:`_margins`).
+    """
+    one = readings(df, source, keys, t, measures, block)
+    seen = neighbours(one, ["_key"], t, {f"v_{m.name}": frozen_run - 1 for m in measures} | {f"f_{m.name}": 3 for m in measures})
+    for m in measures:
+        seen = _margins(m, seen)
+    out = [F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), *_names(source, [f"_key.{k}" for k in keys], t, measures)]
+    for m in measures:
+        xs = [F.get(F.col(f"v_{m.name}"), F.lit(i)) for i in range(len(m.parts))]
+        out.append(F.coalesce(~_all([_finite(x) for x in xs]) | m.impossible(*xs), F.lit(False)).alias(f"i_{m.name}"))
+        out.append(F.coalesce((_run_of_equals(m, frozen_run) >= frozen_run) & ~m.still(*xs), F.lit(False)).alias(f"z_{m.name}"))
+        for i in range(len(m.parts)):
+            out += [F.expr(f"abs(f_{m.name}[{i}] - get(get(f_{m.name}__prev, 0), {i}))").alias(f"s_{m.name}_{i}"), F.col(f"m_{m.name}_{i}")]
+    return seen.select(*out)
+
+
+def flag_rows(df: DataFrame, row_id: str, source: str, keys: list[str], t: str, measures: list[Measure], *, frozen_run: int = 6, spike_steps: float = 9.0, block: int = BLOCK_NS) -> DataFrame:
+    """``row_id, field, impossible, frozen, spike`` of every row with a flagged reading, one row per measure;
+    repeated rows of a flagged reading all come back.
 
     - impossible: not finite, or the measure says so;
     - frozen: one of at least ``frozen_run`` successive readings equal in all parts, unless ``still``;
@@ -111,52 +133,26 @@ def flag_readings(df: DataFrame, source: str, keys: list[str], t: str, measures:
       source is its exact median absolute change between successive finite readings of a series,
       unchanged ones left out; a source without any change has no spikes.
 
-    Null readings and rows without ``t`` are passed over; series of null keys count as one series each;
-    readings that differ at one ``t`` of a series all count, in no defined order.  Empty input gives no rows.
+    Null readings and rows without ``t`` are passed over; null sources and series of null keys count as one
+    each; readings that differ at one ``t`` of a series all count, in no defined order.  Empty input gives no rows.
     """
-    reach = {f"v_{m.name}": frozen_run - 1 for m in measures} | {f"f_{m.name}": 3 for m in measures}
-    parts = [(f"f_{m.name}", i, f"{m.name}_{i}") for m in measures for i in range(len(m.parts))]
-    one = readings(df, source, keys, t, measures, block)
-
-    last = neighbours(one, ["_key"], t, {f"f_{m.name}": 1 for m in measures})
-    changes = F.array(*[F.struct(F.lit(p).alias("part"), F.expr(f"abs({f}[{i}] - get(get({f}__prev, 0), {i}))").alias("step")) for f, i, p in parts])
-    steps = last.select(F.col(source), F.floor(F.col(t) / HOUR_NS).alias("hour"), F.inline(F.filter(changes, lambda x: x["step"] > 0))).persist()
+    # Every reading is put beside its neighbours once; steps, marks and margins are read from the written table.
+    weighed = written(weighed_readings(df, source, keys, t, measures, frozen_run=frozen_run, block=block))
+    parts = [f"{m.name}_{i}" for m in measures for i in range(len(m.parts))]
+    changes = F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"s_{p}").alias("step")) for p in parts])
+    steps = weighed.select(F.col(source), "hour", F.inline(F.filter(changes, lambda x: x["step"] > 0)))
     usual = exact_medians(steps, [source, "part"], "hour", "step")
-    usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"_usual_{p}") for _, _, p in parts])
-    beside = neighbours(one, ["_key"], t, reach).withColumns({n: c for m in measures for n, c in _medians_beside(m).items()})
-    seen = join_small(beside, usual, F.expr(f"`{source}` <=> _source"), "left")
-    steps.unpersist()
+    usual = usual.groupBy(F.col(source).alias("_source")).agg(*[F.max(F.when(F.col("part") == p, F.col("median"))).alias(f"_usual_{p}") for p in parts])
+    seen = join_small(weighed, usual, F.expr(f"`{source}` <=> _source"), "left")
 
-    marks, any_mark = {}, F.lit(False)
-    for m in measures:
-        value = F.col(f"v_{m.name}")
-        xs = [F.get(value, F.lit(i)) for i in range(len(m.parts))]
-        marks[f"i_{m.name}"] = F.coalesce(~_all([_finite(x) for x in xs]) | m.impossible(*xs), F.lit(False))
-        marks[f"z_{m.name}"] = F.coalesce((_run_of_equals(m, frozen_run) >= frozen_run) & ~m.still(*xs), F.lit(False))
-        any_mark = any_mark | F.col(f"i_{m.name}") | F.col(f"z_{m.name}")
+    hits = []
     for m in measures:
-        spike = F.lit(False)
-        for i in range(len(m.parts)):
-            spike = spike | _stands_out(m, i, spike_steps)
-        marks[f"s_{m.name}"] = spike
-        any_mark = any_mark | F.col(f"s_{m.name}")
-    values = [f"v_{m.name}" for m in measures]
-    kept = [source, *[F.col(f"_key.{k}").alias(k) for k in keys], t, *values]
-    judged = seen.select(*kept, *[c.alias(n) for n, c in marks.items()]).filter(any_mark)
-    flags = [F.struct(F.lit(m.name).alias("field"), F.col(f"i_{m.name}").alias("impossible"), F.col(f"z_{m.name}").alias("frozen"), F.col(f"s_{m.name}").alias("spike")) for m in measures]
-    hits = F.filter(F.array(*flags), lambda x: x["impossible"] | x["frozen"] | x["spike"])
-    return judged.select(source, *keys, t, *values, hits.alias("flags")).filter(F.size("flags") > 0)
-
-
-def flag_rows(df: DataFrame, row_id: str, source: str, keys: list[str], t: str, measures: list[Measure], **options) -> DataFrame:
-    """``row_id, field, impossible, frozen, spike`` of every row with a flagged reading (see
-    :func:`flag_readings`): repeated rows of a flagged reading all come back."""
-    values = [f"v_{m.name}" for m in measures]
-    # A reading is named by two independent hashes of all that makes it up: narrow rows to shuffle.
-    name = [F.xxhash64(F.lit(salt), source, *keys, t, *values).alias(f"_h{salt}") for salt in (1, 2)]
-    flagged = flag_readings(df, source, keys, t, measures, **options).select(*name, "flags")
-    rows = df.filter(F.col(t).isNotNull()).select(F.col(row_id), source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures]).select(row_id, *name)
-    return rows.join(flagged, ["_h1", "_h2"]).select(row_id, F.inline("flags"))
+        spike = F.expr(" OR ".join(f"coalesce(m_{m.name}_{i} > {spike_steps}D * _usual_{m.name}_{i}, false)" for i in range(len(m.parts))))
+        hits.append(F.struct(F.lit(m.name).alias("field"), F.col(f"i_{m.name}").alias("impossible"), F.col(f"z_{m.name}").alias("frozen"), spike.alias("spike")))
+    flags = F.filter(F.array(*hits), lambda x: x["impossible"] | x["frozen"] | x["spike"])
+    flagged = seen.select("_h1", "_h2", flags.alias("flags")).filter(F.size("flags") > 0)
+    rows = df.filter(F.col(t).isNotNull()).select(F.col(row_id), source, *keys, t, *[_value(m).alias(f"v_{m.name}") for m in measures]).select(row_id, *_names(source, keys, t, measures))
+    return join_small(rows, flagged, ["_h1", "_h2"]).select(row_id, F.inline("flags"))
 
 
 def fence_rows(df: DataFrame, row_id: str, source: str, t: str, value: str, *, widen: float = 3.0, context: int = HOUR_NS, least: int = 30) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` when it is set; only where it is unset (tests) make a folder of our own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Use ``spark.checkpoint.dir`` when it is set; where it is unset (tests on one machine) make a folder of
+    our own.  A cluster without a shared folder is an error, since its executors can't see a local one."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wayfold-"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wayfold-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like :func:`cut`, for tables of which later steps read
+    some columns only."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext._jsc.sc()
+    folder = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else spark.conf.get("spark.checkpoint.dir")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows up to which a table counts as small.
 SMALL_ROWS = 100_000
 
