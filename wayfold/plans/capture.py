@@ -64,12 +64,12 @@ def _cell_grid(df: DataFrame, value: str, searches: DataFrame) -> DataFrame:
 
 def clock_lags(spark: SparkSession, folder: str) -> DataFrame:
     """Lag at which the speed in ego states and in risk frames of a pass correlate best: in cells of its rig's
-    resampling, within its rig's largest offset, and refined in seconds."""
+    resampling, within its rig's largest offset, and refined in seconds; ``trusted`` by the least correlation of a sync."""
     searches = _searches(spark, folder)
     frames = read_table(spark, folder, "risk_frames").filter("t_ns IS NOT NULL AND ego_speed_mps IS NOT NULL").groupBy("pass_id", "t_ns").agg(F.min("ego_speed_mps").alias("v"))
     ego = _cell_grid(_ego(spark, folder, "speed_mps"), "speed_mps", searches)
     corr = T.lag_correlations(ego, _cell_grid(frames, "v", searches), "pass_id", "i", "v", "most").withColumn("corr", F.round("corr", 6))
-    best = T.best_lag(corr, "pass_id").filter("corr > 0").join(searches.select("pass_id", "cell_ns"), "pass_id")
+    best = T.best_lag(corr, "pass_id").join(searches.select("pass_id", "cell_ns"), "pass_id").withColumn("trusted", F.col("corr") >= S.TRUSTED_CORRELATION)
     return _rounded(best.withColumn("lag_s", F.col("lag_refined") * F.col("cell_ns") / 1e9).drop("cell_ns"), "lag_refined", "lag_s")
 
 
@@ -134,7 +134,14 @@ _STEPS = "s AS (SELECT pass_id, t_ns, row_number() OVER (PARTITION BY pass_id OR
 _REPORT = f"""{_STEPS}, m AS (SELECT pass_id, count(*) AS n_frames, max(t_ns) - min(t_ns) AS span, trunc(median(dt))::BIGINT AS median_dt_ns, min(dt) AS min_dt_ns, max(dt) AS max_dt_ns FROM s GROUP BY 1),
  r AS (SELECT pass_id, n_frames, span::DOUBLE / 1e9 AS duration_s, CASE WHEN span > 0 THEN (n_frames - 1) * 1e9::DOUBLE / span END AS mean_fps, median_dt_ns, min_dt_ns, max_dt_ns,
  coalesce((max_dt_ns - min_dt_ns)::DOUBLE / nullif(median_dt_ns, 0), 0) AS jitter_ratio, (SELECT coalesce(list(i ORDER BY i), []) FROM s WHERE s.pass_id = m.pass_id AND s.dt > {S.GAP_FACTOR}::DOUBLE * m.median_dt_ns) AS gap_indices FROM m)"""
-_EGO = "ego AS (SELECT * FROM (SELECT pass_id, t_ns, rig_id, speed_mps, yaw_rate_radps, row_number() OVER (PARTITION BY pass_id, t_ns ORDER BY ego_row) AS rn FROM ego_states WHERE t_ns IS NOT NULL AND isfinite(speed_mps) AND isfinite(yaw_rate_radps) AND abs(speed_mps) < 100 AND abs(yaw_rate_radps) < 100) WHERE rn = 1)"
+
+
+def _ego_sql(*fields: str) -> str:
+    usable = " AND ".join(f"isfinite({c}) AND abs({c}) < 100" for c in fields or ("speed_mps", "yaw_rate_radps"))
+    return f"ego AS (SELECT * FROM (SELECT pass_id, t_ns, rig_id, speed_mps, yaw_rate_radps, row_number() OVER (PARTITION BY pass_id, t_ns ORDER BY ego_row) AS rn FROM ego_states WHERE t_ns IS NOT NULL AND {usable}) WHERE rn = 1)"
+
+
+_EGO = _ego_sql()
 _D16 = "CASE WHEN length(d) >= 16 AND NOT regexp_matches(d, '^0+$') THEN substr(d, 1, 16) END"
 _DIGEST = f"dig AS (SELECT *, {_D16} AS digest FROM (SELECT *, regexp_replace(regexp_replace(lower(trim(sha256)), '^(sha-?256\\W*)?(0x)?', ''), '[^0-9a-f]', '', 'g') AS d FROM raw_records))"
 _SLUG = r"lower(regexp_replace(regexp_replace(regexp_replace(source_name, '\.[^.]*$', ''), '[^\p{L}\p{N}]', '_', 'g'), '^_+|_+$', '', 'g'))"
@@ -146,23 +153,26 @@ ORACLES = {
  WHEN len(r.gap_indices) <> len(t.gap_indices) THEN 'gaps differ' ELSE 'agrees' END AS status, count(*) AS n FROM r FULL JOIN timing_reports t USING (pass_id) GROUP BY 1""",
     "stream_checks": """SELECT *, CASE WHEN n_not_rising > 0 THEN 'not increasing' WHEN span_ns < 1000000 THEN 'too short' ELSE 'ok' END AS verdict FROM (SELECT pass_id, count(*) AS n, count_if(dt <= 0) AS n_not_rising, max(t_ns) - min(t_ns) AS span_ns
  FROM (SELECT pass_id, t_ns, t_ns - lag(t_ns) OVER (PARTITION BY pass_id ORDER BY frame_row) AS dt FROM video_frames WHERE t_ns IS NOT NULL AND t_ns <> 0) GROUP BY 1)""",
-    "speed_at_frames": f"""WITH {_EGO}, g AS (SELECT DISTINCT pass_id, t_ns FROM video_frames WHERE t_ns > 0), p AS (SELECT g.pass_id, g.t_ns, e.t_ns AS t0, e.speed_mps AS v0 FROM g ASOF LEFT JOIN ego e ON g.pass_id = e.pass_id AND g.t_ns >= e.t_ns),
+    "speed_at_frames": f"""WITH {_ego_sql("speed_mps")}, g AS (SELECT DISTINCT pass_id, t_ns FROM video_frames WHERE t_ns > 0), p AS (SELECT g.pass_id, g.t_ns, e.t_ns AS t0, e.speed_mps AS v0 FROM g ASOF LEFT JOIN ego e ON g.pass_id = e.pass_id AND g.t_ns >= e.t_ns),
  q AS (SELECT g.pass_id, g.t_ns, e.t_ns AS t1, e.speed_mps AS v1 FROM g ASOF LEFT JOIN ego e ON g.pass_id = e.pass_id AND g.t_ns <= e.t_ns)
  SELECT pass_id, t_ns, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * ((t_ns - t0)::DOUBLE / (t1 - t0)) END, 6) AS speed_mps FROM p JOIN q USING (pass_id, t_ns)""",
-    "clock_lags": f"""WITH {_EGO}, f AS (SELECT pass_id, t_ns, min(ego_speed_mps) AS v FROM risk_frames WHERE t_ns IS NOT NULL AND ego_speed_mps IS NOT NULL GROUP BY 1, 2),
- ga AS (SELECT pass_id, i, round(avg(v), 9) AS v FROM (SELECT pass_id, ((t_ns - min(t_ns) OVER (PARTITION BY pass_id)) // 200000000)::INT AS i, speed_mps AS v FROM ego) GROUP BY 1, 2),
- gb AS (SELECT pass_id, i, round(avg(v), 9) AS v FROM (SELECT pass_id, ((t_ns - min(t_ns) OVER (PARTITION BY pass_id)) // 200000000)::INT AS i, v FROM f) GROUP BY 1, 2),
- za AS (SELECT pass_id, i, n, CASE WHEN s < 1e-12 THEN 0 ELSE (v - m) / s END AS z FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, count(*) OVER w AS n FROM ga WINDOW w AS (PARTITION BY pass_id))),
+    "clock_lags": f"""WITH {_ego_sql("speed_mps")}, f AS (SELECT pass_id, t_ns, min(ego_speed_mps) AS v FROM risk_frames WHERE t_ns IS NOT NULL AND ego_speed_mps IS NOT NULL GROUP BY 1, 2),
+ sr AS (SELECT pass_id, round(1e9::DOUBLE / hz)::BIGINT AS cell_ns, round(s * hz)::INT AS most FROM (SELECT pass_id, coalesce(CASE WHEN hz > 0 THEN hz END, 5::DOUBLE) AS hz, coalesce(CASE WHEN s > 0 THEN s END, 2::DOUBLE) AS s
+ FROM (SELECT pass_id, min(rig_id) AS rig_id FROM ego_states GROUP BY 1) LEFT JOIN (SELECT rig_id, max(resample_hz) AS hz, max(max_offset_s) AS s FROM rig_sync GROUP BY 1) USING (rig_id))),
+ ga AS (SELECT pass_id, most, i, round(avg(v), 9) AS v FROM (SELECT pass_id, most, ((t_ns - min(t_ns) OVER (PARTITION BY pass_id)) // cell_ns)::INT AS i, speed_mps AS v FROM ego JOIN sr USING (pass_id)) GROUP BY 1, 2, 3),
+ gb AS (SELECT pass_id, i, round(avg(v), 9) AS v FROM (SELECT pass_id, ((t_ns - min(t_ns) OVER (PARTITION BY pass_id)) // cell_ns)::INT AS i, v FROM f JOIN sr USING (pass_id)) GROUP BY 1, 2),
+ za AS (SELECT pass_id, i, n, unnest(range(-most, most + 1)) AS lag, CASE WHEN s < 1e-12 THEN 0 ELSE (v - m) / s END AS z FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, count(*) OVER w AS n FROM ga WINDOW w AS (PARTITION BY pass_id))),
  zb AS (SELECT pass_id, i, CASE WHEN s < 1e-12 THEN 0 ELSE (v - m) / s END AS z FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM gb WINDOW w AS (PARTITION BY pass_id))),
- c AS (SELECT pass_id, lag, round(sum(za.z * zb.z) / max(n), 6) AS corr FROM za JOIN range(-10, 11) r(lag) ON true JOIN zb USING (pass_id) WHERE zb.i = za.i - r.lag GROUP BY 1, 2),
- n AS (SELECT pass_id, lag, corr, lag(corr) OVER w AS y0, lead(corr) OVER w AS y2, row_number() OVER (PARTITION BY pass_id ORDER BY corr DESC, lag) AS rn FROM c WINDOW w AS (PARTITION BY pass_id ORDER BY lag))
- SELECT pass_id, lag::INT AS lag, corr, round(lag + coalesce(CASE WHEN abs(y0 - 2 * corr + y2) > 1e-12 THEN greatest(-0.5, least(0.5, 0.5 * (y0 - y2) / (y0 - 2 * corr + y2))) ELSE 0 END, 0), 6) AS lag_refined FROM n WHERE rn = 1 AND corr > 0""",
-    "yaw_turned": f"""WITH {_EGO} SELECT pass_id, count(*) AS n, round(sum(part), 5) AS turned FROM (SELECT pass_id, coalesce((yaw_rate_radps + lag(yaw_rate_radps) OVER w) / 2 * ((t_ns - lag(t_ns) OVER w) / 1e9::DOUBLE), 0) AS part FROM ego WINDOW w AS (PARTITION BY pass_id ORDER BY t_ns)) GROUP BY 1""",
+ c AS (SELECT za.pass_id, lag, round(sum(za.z * zb.z) / max(n), 6) AS corr FROM za JOIN zb ON zb.pass_id = za.pass_id AND zb.i = za.i - za.lag GROUP BY 1, 2),
+ n AS (SELECT pass_id, lag, corr, lag(corr) OVER w AS y0, lead(corr) OVER w AS y2, row_number() OVER (PARTITION BY pass_id ORDER BY corr DESC, lag) AS rn FROM c WINDOW w AS (PARTITION BY pass_id ORDER BY lag)),
+ r AS (SELECT pass_id, lag::INT AS lag, corr, lag + coalesce(CASE WHEN abs(y0 - 2 * corr + y2) > 1e-12 THEN greatest(-0.5, least(0.5, 0.5 * (y0 - y2) / (y0 - 2 * corr + y2))) ELSE 0 END, 0) AS refined FROM n WHERE rn = 1)
+ SELECT pass_id, lag, corr, round(refined, 6) AS lag_refined, corr >= {S.TRUSTED_CORRELATION} AS trusted, round(refined * cell_ns / 1e9::DOUBLE, 6) AS lag_s FROM r JOIN sr USING (pass_id)""",
+    "yaw_turned": f"""WITH {_ego_sql("yaw_rate_radps")} SELECT pass_id, count(*) AS n, round(sum(part), 5) AS turned FROM (SELECT pass_id, coalesce((yaw_rate_radps + lag(yaw_rate_radps) OVER w) / 2 * ((t_ns - lag(t_ns) OVER w) / 1e9::DOUBLE), 0) AS part FROM ego WINDOW w AS (PARTITION BY pass_id ORDER BY t_ns)) GROUP BY 1""",
     "dead_reckoning": f"""WITH {_EGO}, s AS (SELECT *, coalesce((lead(t_ns) OVER (PARTITION BY pass_id ORDER BY t_ns) - t_ns) / 1e9::DOUBLE, 0) AS dt FROM ego), h AS (SELECT *, coalesce(sum(yaw_rate_radps * dt) OVER (PARTITION BY pass_id ORDER BY t_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heading FROM s)
  SELECT pass_id, round(sum(speed_mps * dt * cos(heading)), 4) AS x, round(sum(speed_mps * dt * sin(heading)), 4) AS y, round(sum(abs(speed_mps * dt)), 4) AS driven_m FROM h GROUP BY 1""",
-    "record_ids": f"""SELECT rec_no, kind || '_' || strftime(date::DATE, '%Y%m%d') || '_' || {_SLUG} || '_' || lpad((rec_no % 100)::VARCHAR, 2, '0') AS made_id, made_stratum,
+    "record_ids": f"""SELECT rec_no, CASE WHEN made_on IS NOT NULL THEN concat_ws('_', kind, strftime(made_on, '%Y%m%d'), {_SLUG}, lpad((rec_no % 100)::VARCHAR, 2, '0')) END AS made_id, made_stratum,
  CASE WHEN ('0x' || substr(sha256('{S.SPLIT_SEED}|' || made_stratum || '|' || id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < {S.SPLIT_RATIO} THEN 'dev' WHEN id IS NOT NULL THEN 'test' END AS made_split
- FROM (SELECT *, {_STRATUM} AS made_stratum FROM raw_records WHERE regexp_matches(date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$'))""",
+ FROM (SELECT *, {_STRATUM} AS made_stratum, try_strptime(CASE WHEN regexp_matches(trim(date), '^[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}}$') THEN substr(trim(date), 7, 4) || substr(trim(date), 4, 2) || substr(trim(date), 1, 2) ELSE regexp_replace(trim(date), '[-/.]', '', 'g') END, '%Y%m%d') AS made_on FROM raw_records)""",
     "digest_copies": f"WITH {_DIGEST} SELECT digest, count(*) AS n, min(rec_no) AS first_rec_no FROM dig WHERE digest IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "split_report": "SELECT nullif(lower(trim(split)), '') AS split, nullif(lower(trim(stratum)), '') AS stratum, count(*) AS n, sum(size_bytes)::BIGINT AS bytes, round(sum(duration_s), 3) AS duration_s, count_if(verified) AS n_verified FROM raw_records GROUP BY 1, 2",
     "rig_sync_quality": f"SELECT s.rig_id, round(offset_ns / 1e9::DOUBLE, 6) AS offset_s, coalesce(correlation >= {S.TRUSTED_CORRELATION}, false) AS trusted, (SELECT count(*) FROM video_frames v WHERE v.rig_id = s.rig_id) AS n_frames FROM rig_sync s",

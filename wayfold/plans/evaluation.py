@@ -122,7 +122,6 @@ _FALSE = f"""fa AS (SELECT pass_id, (SELECT count(*) FROM ep WHERE ep.pass_id =
 _FALSE_OUT = "SELECT pass_id, n_episodes, n_false, round(minutes, 6) AS minutes, round(CASE WHEN nf >= 2 AND minutes > 0 THEN n_false / minutes END, 6) AS per_min FROM fa"
 _LEADS = """leads AS (SELECT truth.pass_id, first_ns, round((t_event_ns - first_ns) / 1e9::DOUBLE, 6) AS lead_s, coalesce(first_ns <= t_event_ns AND worst_component = true_component, false) AS attributed
  FROM truth LEFT JOIN (SELECT pass_id, t_ns AS first_ns, worst_component FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY t_ns) AS rn FROM lv WHERE rank >= 2) WHERE rn = 1) USING (pass_id))"""
-_NAMES = "('front_bumper'), ('rear_bumper'), ('left_mirror'), ('right_mirror'), ('underbody'), ('front_door_right'), ('liftgate')"
 _GATES = ", ".join(f"('{m}', {v}::DOUBLE, '{d}')" for m, v, d in GATES)
 _BASE = f"WITH {_FRAMES}, {_COMP}, {_LEVELS}, {_EPISODES}, {_EVENTS}, {_TRUTH}, {_FALSE}, {_LEADS}"
 
@@ -136,7 +135,8 @@ ORACLES = {
  SELECT pass_id, t_ns, before, rank, round((lead(t_ns) OVER (PARTITION BY pass_id ORDER BY t_ns) - t_ns) / 1e9::DOUBLE, 6) AS held_s FROM c""",
     "frame_holds": f"""WITH {_FRAMES}, {_LEVELS} SELECT pass_id, rank, round(sum(ns)::BIGINT / 1e9::DOUBLE, 6) AS shown_s, count(*) AS n FROM (SELECT pass_id, rank, coalesce(lead(t_ns) OVER w - t_ns, t_ns - lag(t_ns) OVER w) AS ns FROM lv WINDOW w AS (PARTITION BY pass_id ORDER BY t_ns)) GROUP BY 1, 2""",
     "level_iou": f"""WITH {_FRAMES}, {_COMP}, near AS (SELECT pass_id, t_ns, component AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY pass_id, t_ns ORDER BY min_distance_m NULLS FIRST, ord) AS rn FROM comp) WHERE rn = 1)
- SELECT class, round(b / u, 6) AS iou, u AS n_union FROM (SELECT class, count_if(coalesce(worst_component = class, false) AND nearest = class) AS b, count_if(coalesce(worst_component = class, false) OR nearest = class) AS u FROM frames JOIN near USING (pass_id, t_ns), (VALUES {_NAMES}) c(class) GROUP BY 1) WHERE u > 0""",
+, e AS (SELECT unnest(list_distinct([worst_component, nearest])) AS class, worst_component AS p, nearest AS t FROM frames JOIN near USING (pass_id, t_ns))
+ SELECT class, round(b / u, 6) AS iou, u AS n_union FROM (SELECT class, count_if(coalesce(p = class, false) AND coalesce(t = class, false)) AS b, count_if(coalesce(p = class, false) OR coalesce(t = class, false)) AS u FROM e WHERE class IS NOT NULL GROUP BY 1) WHERE u > 0""",
     "metric_report": f"""WITH {_FRAMES}, d AS (SELECT strftime(make_timestamp(t_ns // 1000), '%Y-%m-%d') AS ts, round(avg(expected_damage), 9) AS damage_mean, round(max(abs(ego_speed_mps)), 9) AS speed_max, round(avg((p_any_contact > 0.5)::INT), 9) AS contact_share FROM frames GROUP BY 1),
  l AS (SELECT metric, ts, value FROM (UNPIVOT d ON damage_mean, speed_max, contact_share INTO NAME metric VALUE value)), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC) AS rn, count(*) OVER (PARTITION BY metric) AS c FROM l),
  s AS (SELECT metric, max(value) FILTER (rn = 1) AS latest, max(value) FILTER (rn = 2) AS previous, max(c) AS n FROM r GROUP BY 1)

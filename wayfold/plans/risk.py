@@ -109,16 +109,18 @@ def _level(extra_d: float = 0.0, extra_t: float = 0.0, with_p: bool = False) ->
 _RANK = """CASE WHEN regexp_matches(b, '^[0-3]$') THEN b::INT WHEN b = '' THEN NULL WHEN starts_with('none', b) THEN 0 WHEN length(b) >= 2 AND starts_with('caution', b) THEN 1
  WHEN starts_with('warning', b) THEN 2 WHEN length(b) >= 2 AND starts_with('critical', b) THEN 3 END"""
 _WITH = f"WITH {_FRAMES}, {_COMP}, {_KINDS}, {_RISKS}"
-_SUMMARY = f"""SELECT pass_id, t_ns, round(1 - coalesce(product(1.0::DOUBLE - CASE WHEN ttc_s IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 1), 6) AS p_any, round(sum(risk), 6) AS damage,
- first(component ORDER BY risk DESC, min_distance_m NULLS FIRST, ord) AS worst, round(min(ttc_s), 6) AS first_ttc, max({_level()}) AS level, max({_level(S.DISTANCE_BAND, S.TTC_BAND)}) AS release, count(*) AS n FROM risks GROUP BY 1, 2"""
+_GROUPED = f"""SELECT pass_id, t_ns, 1 - coalesce(product(1.0::DOUBLE - CASE WHEN ttc_s IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 1) AS p_any, sum(risk) AS damage,
+ first(component ORDER BY risk DESC, min_distance_m NULLS FIRST, ord) AS worst, min(ttc_s) AS first_ttc, max({_level()}) AS level, max({_level(S.DISTANCE_BAND, S.TTC_BAND)}) AS release, count(*) AS n FROM risks GROUP BY 1, 2"""
+_SUMMARY = f"""SELECT pass_id, t_ns, round(coalesce(p_any, 0), 6) AS p_any, round(CASE WHEN n IS NULL THEN 0 ELSE damage END, 6) AS damage, worst, round(first_ttc, 6) AS first_ttc, coalesce(level, 0) AS level, coalesce(release, 0) AS release, coalesce(n, 0) AS n
+ FROM frames LEFT JOIN ({_GROUPED}) USING (pass_id, t_ns)"""
 
 ORACLES = {
     "risk_components": f"{_WITH} SELECT pass_id, t_ns, ord::INT AS ord, component, kind, round(severity, 6) AS severity, round(factor, 6) AS factor, round(risk, 6) AS risk FROM risks",
     "risk_frames_summary": f"{_WITH} {_SUMMARY}",
     "risk_ranked": f"{_WITH} SELECT pass_id, t_ns, component, row_number() OVER (PARTITION BY pass_id, t_ns ORDER BY risk DESC NULLS LAST, min_distance_m NULLS FIRST, ord)::INT AS place FROM risks",
     "risk_by_component": f"WITH {_FRAMES}, {_COMP} SELECT component, count(*) AS n, count(ttc_s) AS n_contacts, round(min(min_distance_m), 6) AS nearest, round(avg({_level()}), 6) AS mean_level, count_if(({_level()}) = 3) AS n_critical FROM comp GROUP BY 1",
-    "risk_probability_levels": f"WITH {_FRAMES}, {_COMP} SELECT level, count(*) AS n_frames FROM (SELECT max({_level(with_p=True)}) AS level FROM comp GROUP BY pass_id, t_ns) GROUP BY 1",
+    "risk_probability_levels": f"WITH {_FRAMES}, {_COMP} SELECT coalesce(level, 0) AS level, count(*) AS n_frames FROM frames LEFT JOIN (SELECT pass_id, t_ns, max({_level(with_p=True)}) AS level FROM comp GROUP BY 1, 2) USING (pass_id, t_ns) GROUP BY 1",
     "risk_level_agreement": f"{_WITH}, g AS ({_SUMMARY}), f AS (SELECT pass_id, t_ns, {_RANK} AS stated FROM (SELECT *, regexp_replace(lower(alert_level), '[^a-z0-9]', '', 'g') AS b FROM frames)) SELECT stated, level, count(*) AS n_frames FROM f LEFT JOIN g USING (pass_id, t_ns) GROUP BY 1, 2",
     "risk_worst_rows": f"{_WITH} SELECT pass_id, round(risk, 6) AS risk, t_ns, component FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY risk DESC NULLS FIRST, t_ns, min_distance_m NULLS FIRST, ord) AS rn FROM risks) WHERE rn = 1",
-    "risk_baseline": f"WITH {_FRAMES}, {_COMP}, {_KINDS} SELECT pass_id, t_ns, round(max((CASE WHEN kind IS NULL THEN 1.0 ELSE {_MULT} END)::DOUBLE * ({_FACTOR})::DOUBLE * CASE WHEN ttc_s IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS box_risk FROM comp LEFT JOIN kinds USING (pass_id, obstacle_id) GROUP BY 1, 2",
+    "risk_baseline": f"WITH {_FRAMES}, {_COMP}, {_KINDS} SELECT pass_id, t_ns, CASE WHEN n IS NULL THEN 0 ELSE box_risk END AS box_risk FROM frames LEFT JOIN (SELECT pass_id, t_ns, count(*) AS n, round(max((CASE WHEN kind IS NULL THEN 1.0 ELSE {_MULT} END)::DOUBLE * ({_FACTOR})::DOUBLE * CASE WHEN ttc_s IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS box_risk FROM comp LEFT JOIN kinds USING (pass_id, obstacle_id) GROUP BY 1, 2) USING (pass_id, t_ns)",
 }
