@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import settings as S
+from wayfold.operators.medians import exact_quantiles
+from wayfold.sources.checkpoints import join_small
 
 
 def episodes(frames: DataFrame, key: str, t: str, on: Column) -> DataFrame:
@@ -72,13 +74,24 @@ def metric_summary(log: DataFrame, gates: DataFrame) -> DataFrame:
 
 
 def stage_times(df: DataFrame, stage: str, order: str, ms: str, warmup: int) -> DataFrame:
-    """``stage, n, p50, p95, fps``: exact percentiles of the times after the first ``warmup``; the rate is infinite for a median of 0."""
-    r = df.select(stage, F.col(ms).alias("ms"), F.expr(f"row_number() OVER (PARTITION BY `{stage}` ORDER BY `{order}`)").alias("_rn")).filter(F.col("_rn") > warmup)
-    g = r.groupBy(stage).agg(F.count("*").alias("n"), F.expr("percentile(ms, 0.5)").alias("p50"), F.expr("percentile(ms, 0.95)").alias("p95"))
+    """``stage, n, p50, p95, fps``: exact percentiles of the times after the first ``warmup`` in ``order`` (unique in a stage);
+    the rate is infinite for a median of 0.  Non-finite times are passed over."""
+    ranked = df.select(stage, F.col(order).alias("_o")).withColumn("_part", F.pmod(F.xxhash64("_o"), F.lit(64)))
+    # The first of each part of a stage, then the first of these: no task sorts a stage.
+    low = ranked.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY `{stage}`, _part ORDER BY _o)")).filter(F.col("_n") <= warmup)
+    low = low.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY `{stage}` ORDER BY _o)")).filter(F.col("_n") <= warmup)
+    last = low.groupBy(F.col(stage).alias("_s")).agg(F.max("_o").alias("_last"))
+    r = join_small(df.select(stage, F.col(order).alias("_o"), F.col(ms).cast("double").alias("ms")), last, F.col(stage).eqNullSafe(F.col("_s")), "left").filter((F.col("_o") > F.col("_last")) | F.col("_last").isNull() if warmup else F.lit(True))
+    q = exact_quantiles(r.withColumn("_c", F.lit(0)), [stage], "_c", "ms", {"p50": 0.5, "p95": 0.95})
+    n = r.groupBy(F.col(stage).alias("_t")).agg(F.count("*").alias("n"))
+    g = n.join(q, F.col("_t").eqNullSafe(F.col(stage))).select(stage, "n", "p50", "p95")
     return g.withColumn("fps", F.coalesce(F.try_divide(F.lit(1000.0), "p50"), F.lit(float("inf"))))
 
 
 def trimmed_middles(df: DataFrame, key: str, value: str, percent: float, least: int) -> DataFrame:
-    """``key, middle, low, high, n``: the middle of the range trimmed by ``percent`` at each end; keys under ``least`` values are left out."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.expr(f"percentile(`{value}`, {percent / 100})").alias("low"), F.expr(f"percentile(`{value}`, {1 - percent / 100})").alias("high"))
-    return g.filter(F.col("n") >= least).select(key, ((F.col("low") + F.col("high")) / 2).alias("middle"), "low", "high", "n")
+    """``key, middle, low, high, n``: the middle of the range trimmed by ``percent`` at each end, by exact quantiles of the finite
+    values; keys under ``least`` values are left out."""
+    there = df.filter(F.col(value).isNotNull() & (F.abs(value) < F.lit(float("inf"))))
+    q = exact_quantiles(there.withColumn("_c", F.lit(0)), [key], "_c", value, {"low": percent / 100, "high": 1 - percent / 100})
+    n = there.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return n.join(q, F.col("_k").eqNullSafe(F.col(key))).select(key, ((F.col("low") + F.col("high")) / 2).alias("middle"), "low", "high", "n")

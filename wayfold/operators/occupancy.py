@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import settings as S
@@ -27,6 +27,28 @@ def height_map(points: DataFrame, key: str, t: str, z: str, persist_s: float = S
     return out.join(ends, F.col(key) == F.col("_key")).filter(F.col("_end") - F.col("last_seen") <= int(persist_s * 1e9)).drop("_key", "_end")
 
 
+def accumulated_map(points: DataFrame, key: str, t: str, z: str, seen: Column | None = None, persist_s: float = S.PERSIST_S) -> DataFrame:
+    """``key, ci, cj, height, last_seen``: for each cell the greatest height within the band over its hits, the last of which ends a
+    stretch without a pause over ``persist_s``; cells not hit for so long before the key's last instant are gone.
+
+    With ``seen``, whether a cell (``ci, cj``) is in view throughout, such cells hold what the key's last instant shows:
+    those not hit then are cleared.
+    """
+    low, high = S.HEIGHT_BAND
+    hit = points.filter(F.col("inside") & F.col(z).between(low, high)).groupBy(key, "ci", "cj", F.col(t).alias("_t")).agg(F.max(z).alias("_z"))
+    ends = points.groupBy(F.col(key).alias("_key")).agg(F.max(t).alias("_end"))
+    over = f"OVER (PARTITION BY `{key}`, ci, cj ORDER BY _t)"
+    new = hit.withColumn("_new", F.expr(f"CASE WHEN _t - lag(_t) {over} <= {int(persist_s * 1e9)} THEN 0 ELSE 1 END"))
+    stretch = new.withColumn("_n", F.expr(f"sum(_new) {over}")).groupBy(key, "ci", "cj", "_n").agg(F.max("_z").alias("height"), F.max("_t").alias("last_seen"))
+    last = stretch.groupBy(key, "ci", "cj").agg(F.max(F.struct("_n", "height", "last_seen")).alias("m")).select(key, "ci", "cj", "m.height", "m.last_seen")
+    kept = last.join(ends, F.col(key) == F.col("_key"))
+    if seen is not None:
+        now = hit.select(F.col(key).alias("_k"), F.col("ci").alias("_i"), F.col("cj").alias("_j"), "_t", "_z")
+        kept = kept.withColumn("_seen", F.coalesce(seen, F.lit(False))).join(now, F.expr(f"_seen AND `{key}` = _k AND ci = _i AND cj = _j AND last_seen = _t"), "left")
+        kept = kept.filter("NOT _seen OR last_seen = _end").withColumn("height", F.coalesce("_z", "height"))
+    return kept.filter(F.col("_end") - F.col("last_seen") <= int(persist_s * 1e9)).select(key, "ci", "cj", "height", "last_seen")
+
+
 def cell_clusters(occupied: DataFrame, key: str) -> DataFrame:
     """``key, ci, cj, cluster``: 8-connected groups of cells of one key, named by their least ``(ci, cj)``.
 

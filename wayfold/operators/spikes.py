@@ -159,7 +159,7 @@ def fence_rows(df: DataFrame, row_id: str, source: str, t: str, value: str, *, w
     """``row_id, source, hour, value, low, high``: finite readings outside ``[q1 - widen * iqr, q3 + widen * iqr]``.
 
     Quantiles come from sketches per source and hour; an hour with under ``least`` readings is judged
-    by the source's merged sketch.  Null ``t`` or value and non-finite values are passed over.
+    by the source's merged sketch.  Null ``t`` or value and non-finite values are passed over; null sources count as one.
     """
     at = df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).select(row_id, source, F.floor(F.col(t) / context).alias("hour"), F.col(value).cast("double").alias("value"))
     sketches = context_sketches(at, [source], "hour", "value")
@@ -167,7 +167,10 @@ def fence_rows(df: DataFrame, row_id: str, source: str, t: str, value: str, *, w
         source, "hour", F.kll_sketch_get_quantile_double("sketch", F.lit(0.25)).alias("_h1"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.75)).alias("_h3")
     )
     whole = merged_quantiles(sketches, [source], {"_s1": 0.25, "_s3": 0.75})
-    both = at.filter(_finite(F.col("value"))).join(whole, source).join(per_hour, [source, "hour"], "left")
+    whole = whole.withColumnRenamed(source, "_source")
+    per_hour = per_hour.withColumnsRenamed({source: "_hour_source", "hour": "_hour"})
+    both = join_small(at.filter(_finite(F.col("value"))), whole, F.col(source).eqNullSafe(F.col("_source")))
+    both = both.join(per_hour, F.col(source).eqNullSafe(F.col("_hour_source")) & (F.col("hour") == F.col("_hour")), "left")
     q1, q3 = F.coalesce("_h1", "_s1"), F.coalesce("_h3", "_s3")
     fenced = both.withColumn("low", q1 - widen * (q3 - q1)).withColumn("high", q3 + widen * (q3 - q1))
     return fenced.filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select(row_id, source, "hour", "value", "low", "high")

@@ -50,7 +50,8 @@ def interpolated(samples: DataFrame, grid: DataFrame, key: str, t: str, value: s
     both = s.select(key, t, "_v", F.lit(False).alias("_grid")).unionAll(grid.select(key, t, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_grid")))
     item = f"CASE WHEN _v IS NOT NULL THEN struct(`{t}` AS t, _v AS v) END"
     back = F.expr(f"last({item}, true) OVER (PARTITION BY `{key}` ORDER BY `{t}` RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    ahead = F.expr(f"first({item}, true) OVER (PARTITION BY `{key}` ORDER BY `{t}` RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+    # The other way round too: a frame without an end ahead would be gone over for every row.
+    ahead = F.expr(f"last({item}, true) OVER (PARTITION BY `{key}` ORDER BY `{t}` DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     met = both.select(key, t, "_grid", back.alias("_p"), ahead.alias("_q")).filter("_grid")
     share = F.try_divide((F.col(t) - F.col("_p.t")).cast("double"), F.col("_q.t") - F.col("_p.t"))
     v = F.when(F.col("_p").isNull(), F.col("_q.v")).when(F.col("_q").isNull() | (F.col("_p.t") == F.col("_q.t")), F.col("_p.v")).otherwise(F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * share)

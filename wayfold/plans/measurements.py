@@ -38,8 +38,15 @@ def p2_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_fences(spark: SparkSession, folder: str) -> DataFrame:
-    """Speeds outside the rig's interquartile fences of the hour."""
-    return fence_rows(read_table(spark, folder, "ego_states"), "ego_row", "rig_id", "t_ns", "speed_mps")
+    """Speeds, yaw rates and coordinates of centres outside the rig's interquartile fences of the hour."""
+    ego, obs = read_table(spark, folder, "ego_states"), read_table(spark, folder, "obstacles")
+    parts = [(ego, "ego_states", "ego_row", m.name, m.name, 0) for m in MOTION] + [(obs, "obstacles", "obs_row", CENTRE[0].name, e, i) for i, e in enumerate(CENTRE[0].parts)]
+    found = None
+    for df, table, row, field, value, i in parts:
+        one = fence_rows(df.select(F.col(row).alias("row_no"), "rig_id", "t_ns", F.expr(value).alias("reading")), "row_no", "rig_id", "t_ns", "reading")
+        one = one.select(F.lit(table).alias("tbl"), "row_no", F.lit(field).alias("field"), F.lit(i).alias("part"), "hour", "value", "low", "high")
+        found = one if found is None else found.unionAll(one)
+    return found
 
 
 def frame_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +60,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_series(spark: SparkSession, folder: str) -> DataFrame:
     """The series itself: every slot with its frames, smoothed frame index and support."""
-    return frame_grid(spark, folder).select("pass_id", "slot", "slot_t_ns", "n_readings", F.round("value", 6).alias("value"), F.round("support", 6).alias("support"), "missing")
+    return frame_grid(spark, folder).select("pass_id", "slot", "slot_t_ns", "n_readings", F.round("value", 4).alias("value"), F.round("support", 4).alias("support"), "missing")
 
 
 QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p2_fences": p2_fences, "p4_found": p4_found, "p4_series": p4_series}
@@ -76,4 +83,9 @@ ORACLES = {
     "p2_found": f"WITH {_FLAGS} SELECT tbl, row_no, field FROM hits",
     "p2_summary": f"WITH {_FLAGS} SELECT tbl, field, count_if(impossible) AS n_impossible, count_if(frozen) AS n_frozen, count_if(spike) AS n_spike, count(*) AS n_rows FROM hits GROUP BY 1, 2",
     "p4_found": f"WITH {_SLOTS} SELECT pass_id, t0 + slot * len AS slot_t_ns FROM slots ANTI JOIN used USING (pass_id, slot)",
+    "p4_series": f"""WITH {_SLOTS}, rd AS (SELECT DISTINCT pass_id, t_ns, frame_index::DOUBLE AS y FROM video_frames WHERE t_ns IS NOT NULL AND t_ns <> 0), n AS (SELECT pass_id, t_ns, y, t0, len, (t_ns - t0) // len AS own, (t1 - t0) // len AS last FROM rd JOIN b USING (pass_id)),
+ e AS (SELECT *, (t_ns - t0) / len::DOUBLE - slot - 0.5 AS u FROM (SELECT *, unnest(range(own - 3, own + 4)) AS slot FROM n) WHERE slot >= 0 AND slot <= last), k AS (SELECT pass_id, slot, slot = own AS here, CASE WHEN y IS NULL THEN 0 ELSE greatest(0, 1 - (u / 2) ** 2) END AS w, u, coalesce(y, 0) AS y FROM e WHERE slot = own OR abs(u) < 2),
+ ft AS (SELECT pass_id, slot, count_if(here) AS n, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS r0, sum(w * u * y) AS r1, sum(w * w) AS ww FROM k GROUP BY 1, 2),
+ v AS (SELECT pass_id, slot, t0 + slot * len AS slot_t_ns, coalesce(n, 0) AS n_readings, CASE WHEN s0 * s2 - s1 * s1 > s0 * s0 * 1e-9 THEN (s2 * r0 - s1 * r1) / (s0 * s2 - s1 * s1) ELSE r0 / nullif(s0, 0) END AS line, coalesce(s0 * s0 / nullif(ww, 0), 0) AS support FROM slots LEFT JOIN ft USING (pass_id, slot))
+ SELECT pass_id, slot, slot_t_ns, n_readings, round(CASE WHEN support >= 1.5 THEN line END, 4) AS value, round(support, 4) AS support, n_readings = 0 AS missing FROM v""",
 }

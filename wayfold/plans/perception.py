@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wayfold.functions import frames as G
 from wayfold.functions import settings as S
 from wayfold.operators import occupancy as O
-from wayfold.plans.capture import _EGO, _ego
+from wayfold.operators.medians import exact_medians
+from wayfold.plans.capture import _EGO, _ego, _ego_sql
 from wayfold.sources.tables import read_table
 
 MAP_CELL, MAP_SIZE = 0.25, 60.0
@@ -52,10 +53,10 @@ def outside_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def close_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """Tracks of a pass that come within half a metre of each other at one instant of the pass's clock, rounded to 100 ms."""
+    """Tracks of a pass that come within 4 m of each other at one instant of the pass's clock, rounded to 100 ms."""
     o = placed(spark, folder).withColumn("tick", F.expr("t_ns div 100000000")).select("pass_id", "tick", "id", "obs_row", "x", "y", "z")
     o = o.groupBy("pass_id", "tick", "id").agg(F.min_by(F.struct("x", "y", "z"), "obs_row").alias("c"), F.min("obs_row").alias("row")).select("pass_id", "tick", "id", "row", "c.*")
-    pairs = O.within_radius(o.withColumnRenamed("row", "row_a"), o.withColumnRenamed("row", "row_b"), ["pass_id", "tick"], ["x", "y", "z"], 0.5, "row_a", "row_b").filter("row_a < row_b")
+    pairs = O.within_radius(o.withColumnRenamed("row", "row_a"), o.withColumnRenamed("row", "row_b"), ["pass_id", "tick"], ["x", "y", "z"], 4.0, "row_a", "row_b").filter("row_a < row_b")
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
@@ -67,15 +68,18 @@ def nearest_obstacles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def range_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """By distance bucket: obstacles, median stated deviation, and how many state none."""
-    o = placed(spark, folder).withColumn("bucket", G.depth_bucket(F.hypot("x", "y"))).filter("bucket IS NOT NULL")
-    return o.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.expr("median(pos_sigma_m)"), 6).alias("median_sigma"), F.count_if(F.col("pos_sigma_m").isNull()).alias("n_unstated"))
+    """By distance bucket: obstacles, median stated deviation of range, and how many state none (errors against the truth are
+    ``signed_range_errors``)."""
+    o = placed(spark, folder).withColumn("bucket", G.depth_bucket(F.hypot("x", "y"))).filter("bucket IS NOT NULL").withColumn("hour", F.expr("t_ns div 3600000000000"))
+    m = exact_medians(o, ["bucket"], "hour", "pos_sigma_m")
+    n = o.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("pos_sigma_m").isNull()).alias("n_unstated"))
+    return n.join(m, "bucket", "left").select("bucket", "n", F.round("median", 6).alias("median_sigma"), "n_unstated")
 
 
 def contact_chances(spark: SparkSession, folder: str) -> DataFrame:
-    """Chance that each pass's nearest gap is closed, by its stated deviation."""
+    """Chance that the gap to each obstacle is closed, by its stated deviation; those that state none have no row."""
     o = placed(spark, folder).filter("pos_sigma_m IS NOT NULL").select("pass_id", "obs_row", "pos_sigma_m", F.hypot("x", "y").alias("d"))
-    return o.select("pass_id", "obs_row", F.round(G.gaussian_contact(F.col("d") - 1.0, F.col("pos_sigma_m")), 5).alias("p")).filter("p > 0")
+    return o.select("pass_id", "obs_row", F.round(G.gaussian_contact(F.col("d") - 1.0, F.col("pos_sigma_m")), 5).alias("p"))
 
 
 def pixel_rays(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,12 +140,22 @@ ORACLES = {
     "outside_counts": f"""WITH {_OBS}, g AS (SELECT source, z, (abs(floor((x + 6) / 0.05::DOUBLE) - 119.5) < 120 AND abs(floor((y + 6) / 0.05::DOUBLE) - 119.5) < 120) AS inside FROM obs)
  SELECT source, count_if(inside AND z BETWEEN -0.2 AND 2.5) AS n_in, count_if(z > 2.5) AS n_above, count_if(z < -0.2) AS n_below, count_if(NOT inside) AS n_outside FROM g GROUP BY 1""",
     "close_tracks": f"""WITH {_OBS}, tk AS (SELECT * FROM (SELECT *, t_ns // 100000000 AS tick, row_number() OVER (PARTITION BY pass_id, t_ns // 100000000, id ORDER BY obs_row) AS first FROM obs) WHERE first = 1)
- SELECT a.obs_row AS row_a, b.obs_row AS row_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM tk a JOIN tk b ON a.pass_id = b.pass_id AND a.tick = b.tick AND a.obs_row < b.obs_row WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.5""",
+ SELECT a.obs_row AS row_a, b.obs_row AS row_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM tk a JOIN tk b ON a.pass_id = b.pass_id AND a.tick = b.tick AND a.obs_row < b.obs_row WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 4.0""",
     "nearest_obstacles": f"WITH {_OBS} SELECT pass_id, obs_row, kind, round(d, 6) AS distance, round(degrees(atan2(y, x)), 4) AS bearing_deg FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY d, obs_row) AS rk FROM (SELECT *, sqrt(x * x + y * y) AS d FROM obs)) WHERE rk = 1",
     "range_errors": f"WITH {_OBS} SELECT bucket, count(*) AS n, round(median(pos_sigma_m), 6) AS median_sigma, count_if(pos_sigma_m IS NULL) AS n_unstated FROM (SELECT *, {_BUCKET} AS bucket FROM (SELECT *, sqrt(x * x + y * y) AS d FROM obs)) WHERE bucket IS NOT NULL GROUP BY 1",
-    "motion_fan": f"""WITH {_EGO}, e AS (SELECT pass_id, max(abs(speed_mps)) AS v FROM ego GROUP BY 1), f AS (SELECT pass_id, curvature, i, v * i * 0.1::DOUBLE AS s, curvature * (v * i * 0.1::DOUBLE) AS a FROM e, (VALUES {_FAN}) c(curvature), (SELECT range::INT AS i FROM range(0, 31)) WHERE i = 0 OR v >= 0.1)
- SELECT pass_id, curvature, i, round(CASE WHEN abs(a) < 1e-4 THEN s * (1 - a * a / 6) ELSE sin(a) / curvature END, 9) AS x, round(CASE WHEN abs(a) < 1e-4 THEN s * (a / 2 - a * a * a / 24) ELSE (1 - cos(a)) / curvature END, 9) AS y, round(a, 9) AS heading FROM f""",
+    "motion_fan": f"""WITH {_ego_sql("speed_mps")}, f AS (SELECT pass_id, t_ns, curvature, i, speed_mps * i * 0.1::DOUBLE AS s, curvature * (speed_mps * i * 0.1::DOUBLE) AS a FROM ego, (VALUES {_FAN}) c(curvature), (SELECT range::INT AS i FROM range(0, 31)) WHERE i = 0 OR abs(speed_mps) >= 0.1)
+ SELECT pass_id, t_ns, curvature, i, round(CASE WHEN abs(a) < 1e-4 THEN s * (1 - a * a / 6) ELSE sin(a) / curvature END, 9) AS x, round(CASE WHEN abs(a) < 1e-4 THEN s * (a / 2 - a * a * a / 24) ELSE (1 - cos(a)) / curvature END, 9) AS y, round(a, 9) AS heading FROM f""",
     "path_curvatures": f"""WITH {_EGO}, k AS (SELECT rig_id, CASE WHEN abs(speed_mps) < 1e-6 THEN 0 ELSE yaw_rate_radps / speed_mps END AS k, abs(speed_mps) >= 0.1 AS moving FROM ego)
  SELECT rig_id, list_min(list_transform([{", ".join(f"{c}::DOUBLE" for c in S.CURVATURES)}], lambda c: {{'d': abs(k - c), 'c': c}})).c AS curvature, count(*) AS n, count_if(moving) AS n_moving FROM k GROUP BY 1, 2""",
     "rotations_back": f"WITH {_EGO} SELECT pass_id, count(*) AS n, count(*) AS n_valid, count(*) AS n_same FROM ego WHERE abs(yaw_rate_radps) < 3 GROUP BY 1",
+    "contact_chances": f"""WITH {_OBS}, g AS (SELECT pass_id, obs_row, -(sqrt(x * x + y * y) - 1.0) / greatest(pos_sigma_m, 0.02::DOUBLE) AS q FROM obs WHERE pos_sigma_m IS NOT NULL), h AS (SELECT *, abs(q) / sqrt(2::DOUBLE) AS a, 1 / (1 + 0.3275911::DOUBLE * (abs(q) / sqrt(2::DOUBLE))) AS t FROM g),
+ e AS (SELECT *, 1 - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-a * a) AS erf FROM h), p AS (SELECT *, CASE WHEN q >= 0 THEN 0.5 * (1 + erf) ELSE 0.5 * (1 - erf) END AS p0 FROM e)
+ SELECT pass_id, obs_row, round(CASE WHEN p0 < 0.001 THEN 0 ELSE p0 END, 5) AS p FROM p""",
+    "pixel_rays": f"""WITH {_OBS}, c AS (SELECT obs_row, {math.cos(0.2)!r}::DOUBLE AS c, {math.sin(0.2)!r}::DOUBLE AS n, x, y FROM obs WHERE x > 0.5), q AS (SELECT *, c * x + 1.5 * n AS d, 900 * -y / (c * x + 1.5 * n) + 639.5 AS u, 900 * (1.5 * c - n * x) / (c * x + 1.5 * n) + 359.5 AS v FROM c),
+ g AS (SELECT *, 1.5 / (c * (v - 359.5) / 900 + n) AS f FROM q WHERE d > 1e-6 AND u >= 0 AND u < 1280 AND v >= 0 AND v < 720), h AS (SELECT *, f * (c - n * (v - 359.5) / 900) AS gx, -f * (u - 639.5) / 900 AS gy, c * (v - 359.5) / 900 + n > 0 AS down FROM g)
+ SELECT obs_row, round(u, 4) AS u, round(v, 4) AS v, CASE WHEN down AND sqrt(gx * gx + gy * gy) <= 50 THEN round(gx, 5) END AS gx, CASE WHEN down AND sqrt(gx * gx + gy * gy) <= 50 THEN round(gy, 5) END AS gy FROM h""",
+    "map_clusters": f"""WITH RECURSIVE {_OBS}, {_CELLS}, {_MAP}, m AS (SELECT pass_id, ci, cj, height FROM hm WHERE height > {S.OBSTACLE_HEIGHT}), e AS (SELECT a.pass_id, a.ci, a.cj, b.ci AS di, b.cj AS dj FROM m a JOIN m b ON a.pass_id = b.pass_id AND abs(a.ci - b.ci) <= 1 AND abs(a.cj - b.cj) <= 1),
+ w(pass_id, ci, cj, ri, rj) AS (SELECT pass_id, ci, cj, ci, cj FROM m UNION SELECT w.pass_id, w.ci, w.cj, e.di, e.dj FROM w JOIN e ON e.pass_id = w.pass_id AND e.ci = w.ri AND e.cj = w.rj), r AS (SELECT pass_id, ci, cj, min({{'i': ri, 'j': rj}}) AS root FROM w GROUP BY 1, 2, 3),
+ g AS (SELECT pass_id, root.i || ':' || root.j AS cluster, min(ci) AS i0, max(ci) AS i1, min(cj) AS j0, max(cj) AS j1, max(height) AS top, count(*) AS n_cells FROM r JOIN m USING (pass_id, ci, cj) GROUP BY 1, 2)
+ SELECT pass_id, cluster, round((i0 + i1 + 1) * {MAP_CELL} / 2::DOUBLE - {MAP_SIZE / 2}, 6) AS x, round((j0 + j1 + 1) * {MAP_CELL} / 2::DOUBLE - {MAP_SIZE / 2}, 6) AS y, round((i1 - i0 + 1) * {MAP_CELL}::DOUBLE, 6) AS size_x, round((j1 - j0 + 1) * {MAP_CELL}::DOUBLE, 6) AS size_y, round(top, 6) AS top, n_cells FROM g""",
 }
