@@ -33,6 +33,12 @@ SEVERITY_OVERRIDE = {
     ("wheel_rear_right", "static_geom"): 0.4,
 }
 
+# The vehicle's tables name the wheels the other way round; both names mean the same component.
+for _end in ("front", "rear"):
+    for _side in ("left", "right"):
+        SEVERITY[f"{_end}_{_side}_wheel"] = SEVERITY[f"wheel_{_end}_{_side}"]
+        SEVERITY_OVERRIDE[f"{_end}_{_side}_wheel", "static_geom"] = SEVERITY_OVERRIDE[f"wheel_{_end}_{_side}", "static_geom"]
+
 # Speed factor, alert ladder (distance, time to contact, probability) and its hysteresis.
 REFERENCE_SPEED, LEAST_FACTOR, MOST_FACTOR = 2.0, 0.2, 3.0
 LADDER = {"caution": (1.00, 3.0, 0.20), "warning": (0.50, 2.0, 0.50), "critical": (0.25, 1.0, 0.80)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import frames as G
+from wayfold.functions import settings as S
 from wayfold.functions.text import day, digest16, padded
 from wayfold.operators import sweep
 from wayfold.operators.levels import level_rank
@@ -82,9 +83,10 @@ def split_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def swept_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Reachable clearances of the vehicle's components at each instant of an obstacle, with the nearest ego
     state of the pass, at most ``EGO_TOLERANCE_NS`` away (the earlier of two equally near); ``t_ns`` is the
-    obstacle's.  Instants without such a state can't be swept and have no row."""
+    obstacle's.  The way is the fan's curve nearest to the state's.  Instants without such a state can't be swept and have no row."""
     k = G.curvature_of(F.col("yaw_rate_radps"), F.col("speed_mps"))
-    state = F.struct("t_ns", F.col("speed_mps").alias("speed"), F.greatest(F.lit(-0.2), F.least(F.lit(0.2), k)).alias("curvature"))
+    fan = F.array_min(F.array(*[F.struct(F.abs(k - F.lit(c)).alias("d"), F.lit(c).alias("c")) for c in S.CURVATURES]))["c"]
+    state = F.struct("t_ns", F.col("speed_mps").alias("speed"), fan.alias("curvature"))
     o = placed(spark, folder).filter("forall(extent, v -> v > 0 AND v < 50) AND size(extent) = 3")
     o = o.select("pass_id", "t_ns", F.col("id").alias("obstacle_id"), "x", "y", "z", *[F.expr(f"extent[{i}]").alias(f"s{c}") for i, c in enumerate("xyz")])
     e = nearest_in_time(o.select("pass_id", "t_ns").distinct(), _ego(spark, folder).select("pass_id", "t_ns", state.alias("state")), "pass_id", "t_ns", "state", tolerance=EGO_TOLERANCE_NS)

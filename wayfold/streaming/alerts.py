@@ -87,26 +87,36 @@ def held_levels(frames: DataFrame) -> DataFrame:
 
 
 class AlertProcessor(StatefulProcessor):
-    """Stream: the ladder of each pass in the state store; frames that are not later than the last are
-    passed over (the batch twin fails on them)."""
+    """Stream: the ladder of each pass in the state store.
+
+    All frames of a pass in a micro-batch are put in order first, however they are spread over chunks.
+    Frames without an instant, repeated ones, and those not after the last of an earlier batch come out
+    marked ``late``, without a level (the batch twin fails on them).
+    """
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ladder", STATE)
+        self.state = handle.getValueState("ladder", STATE, ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         state = Ladder(*self.state.get()) if self.state.exists() else Ladder()
-        for part in rows:
-            part = part.sort_values("t_ns")
-            part = part[part["t_ns"] > state.last].drop_duplicates("t_ns")
-            if len(part):
-                yield _advance(state, part)
+        frames = pd.concat(list(rows), ignore_index=True).sort_values("t_ns", kind="stable")
+        late = frames["t_ns"].isna() | (frames["t_ns"] <= state.last) | frames["t_ns"].duplicated()
+        if not late.all():
+            yield _advance(state, frames[~late]).assign(late=False)
+        if late.any():
+            left = frames.loc[late, ["pass_id", "t_ns", "raw", "release"]]
+            yield left.assign(level=pd.array([pd.NA] * len(left), dtype="Int32"), late=True)
         self.state.update(astuple(state))
 
     def close(self) -> None:
         pass
 
 
-def stream_levels(frames: DataFrame) -> DataFrame:
-    """Streaming frames ``pass_id, t_ns, raw, release`` with the held level; needs the RocksDB state store."""
+def stream_levels(frames: DataFrame, *, keep_ms: int | None = None) -> DataFrame:
+    """Streaming frames ``pass_id, t_ns, raw, release`` with the held level and whether they came too ``late`` for
+    one; needs the RocksDB state store.  With ``keep_ms`` the state of a pass without frames for so long is dropped."""
     ship_package(frames.sparkSession)
-    return frames.groupBy("pass_id").transformWithStateInPandas(AlertProcessor(), OUT, "append", "none")
+    return frames.groupBy("pass_id").transformWithStateInPandas(AlertProcessor(keep_ms), OUT + ", late boolean", "append", "ProcessingTime" if keep_ms else "none")
