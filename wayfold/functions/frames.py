@@ -225,3 +225,64 @@ def gaussian_contact(gap: Column, sigma: Column, floor: float = 0.02, least: flo
     """Probability that a gap known to ``sigma`` is closed; small ones are 0."""
     p = normal_cdf(-gap / F.greatest(sigma, F.lit(floor)))
     return F.when(p < least, 0.0).otherwise(p)
+
+
+# Depth from one view of the ground
+def ground_sigma(eye: Column, ray_up: Column, ray_down: Column, most: float = float("inf")) -> Column:
+    """Half the distance of the ground points of two rays a pixel error apart; infinite where either misses the ground."""
+    a, b = on_ground(eye, ray_up, most), on_ground(eye, ray_down, most)
+    return F.coalesce(F.hypot(at(a, 0) - at(b, 0), at(a, 1) - at(b, 1)) / 2, F.lit(float("inf")))
+
+
+def height_over(eye: Column, ray: Column, x: Column, y: Column) -> Column:
+    """Height of the point of a ray that is nearest in plan to ``(x, y)``; null for a vertical ray."""
+    dx, dy = at(ray, 0), at(ray, 1)
+    along = F.try_divide((x - at(eye, 0)) * dx + (y - at(eye, 1)) * dy, dx * dx + dy * dy)
+    return at(eye, 2) + along * at(ray, 2)
+
+
+def pushed(eye: Column, x: Column, y: Column, by: Column) -> tuple[Column, Column]:
+    """A ground point moved away from the eye, in plan, by a distance."""
+    dx, dy = x - at(eye, 0), y - at(eye, 1)
+    far = F.hypot(dx, dy)
+    return x + F.try_divide(dx, far) * by, y + F.try_divide(dy, far) * by
+
+
+def planned_sigma(distance: Column, base: float = 0.05, per_m: float = 0.03) -> Column:
+    return base + per_m * distance
+
+
+# Planes: unit normal and offset, n . p + d = 0
+def plane_distance(normal: Column, d: Column, p: Column) -> Column:
+    return dot(normal, p) + d
+
+
+def on_plane(normal: Column, d: Column, p: Column) -> Column:
+    """Foot of the perpendicular from a point."""
+    return F.array(*[at(p, i) - plane_distance(normal, d, p) * at(normal, i) for i in range(3)])
+
+
+def tilt_deg(normal: Column, up: Column) -> Column:
+    """Angle between a plane's normal and a direction, whichever way the normal points."""
+    return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(dot(normal, unit(up))))))
+
+
+# Joints
+def from_rpy(roll: Column, pitch: Column, yaw: Column) -> Column:
+    """Rotation by fixed axes: roll about x, then pitch about y, then yaw about z."""
+    return product3(product3(rot("z", yaw), rot("y", pitch)), rot("x", roll))
+
+
+def joint_motion(kind: str, axis: Column, q: Column, low: float, high: float, slack: float = 1e-9) -> Column:
+    """Transform of a joint's child at ``q``; null outside the limits of a revolute or prismatic joint.  A fixed one doesn't move."""
+    zero = F.array(*[F.lit(0.0)] * 3)
+    still = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    if kind in ("revolute", "continuous"):
+        out = transform_of(from_axis_angle(axis, q), zero)
+    elif kind == "prismatic":
+        out = transform_of(still, F.transform(unit(axis), lambda x: x * q))
+    elif kind == "fixed":
+        return transform_of(still, zero)
+    else:
+        raise ValueError(f"unknown joint {kind}")
+    return out if kind == "continuous" else F.when(q.between(low - slack, high + slack), out)
