@@ -71,17 +71,12 @@ def test_stream_orders_a_batch_and_tells_late_frames(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     mixed = rows[:]
     random.Random(1).shuffle(mixed)
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        for i, part in enumerate((mixed, [rows[3], ("a", 1, 0, 0)])):
-            pd.DataFrame(part, columns=["pass_id", "t_ns", "raw", "release"]).to_json(tmp_path / f"part{i}.json", orient="records", lines=True)
-            time.sleep(0.02)
-        stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).json(str(tmp_path))
-        q = alerts.stream_levels(stream, keep_ms=3_600_000).writeStream.format("memory").queryName("mixed").outputMode("append").option("checkpointLocation", str(tmp_path / "_cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    for i, part in enumerate((mixed, [rows[3], ("a", 1, 0, 0)])):
+        pd.DataFrame(part, columns=["pass_id", "t_ns", "raw", "release"]).to_json(tmp_path / f"part{i}.json", orient="records", lines=True)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    q = alerts.stream_levels(stream).writeStream.format("memory").queryName("mixed").outputMode("append").option("checkpointLocation", str(tmp_path / "_cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     out = spark.table("mixed").collect()
     assert {(r["pass_id"], r["t_ns"]): r["level"] for r in out if not r["late"]} == want
     assert sorted((r["pass_id"], r["t_ns"], r["level"]) for r in out if r["late"]) == sorted([(rows[3][0], rows[3][1], None), ("a", 1, None)])

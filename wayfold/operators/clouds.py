@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.components import connected_components
+from wayfold.operators.medians import exact_quantiles
 from wayfold.operators.occupancy import within_radius
+from wayfold.sources.checkpoints import cut
+from wayfold.sources.shipping import ship_package
 
 
 def planar_fit(pairs: DataFrame, key: str) -> DataFrame:
@@ -69,3 +74,106 @@ def clean_labels(points: DataFrame, keys: list[str], point: str, label: str, *,
     votes = around.join(marked.select(F.col(point).alias("_k"), label), "_k")
     won = vote_labels(votes, "_s", label, least_votes, 0.0).select(F.col("_s").alias(point), F.col(label).alias("_won"))
     return marked.select(point, label, "stray").join(won, point, "left").select(point, label, "stray", F.when(F.col("stray"), F.col("_won")).otherwise(F.col(label)).alias("new_label"))
+
+
+def exposed_faces(points: DataFrame, key: str, edge: float) -> DataFrame:
+    """``key, n_voxels, n_faces, area``: the faces of the voxels that hold a point and have no such voxel behind them."""
+    cells = points.select(key, *[F.floor(F.col(c) / edge).alias(c) for c in "xyz"]).distinct()
+    sides = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))])
+    faces = cells.select(key, F.explode(sides).alias("s"), "x", "y", "z").select(key, *[(F.col(c) + F.col(f"s.{d}")).alias(c) for c, d in zip("xyz", "abc")])
+    bare = faces.join(cells, [key, "x", "y", "z"], "left_anti").groupBy(key).agg(F.count("*").alias("n_faces"))
+    n = cells.groupBy(key).agg(F.count("*").alias("n_voxels"))
+    return n.join(bare, key).withColumn("area", F.col("n_faces") * edge**2)
+
+
+def nearest_spacing(points: DataFrame, key: str, row: str, *, cell: float = 0.5, grow: float = 4.0, most: float = 1e4) -> DataFrame:
+    """``key, row, spacing``: the distance of each distinct place to the nearest other one of its key; a key with one place has none.
+
+    Places meet in their own and the adjoining cells; a neighbour within a cell's width is certainly the nearest.
+    Places without one are looked at again with cells ``grow`` times as wide, up to ``most``.
+    """
+    places = cut(points.groupBy(key, "x", "y", "z").agg(F.min(row).alias("p")))
+    left, found, width = places, None, cell
+    while width <= most:
+        pairs = within_radius(left.withColumnRenamed("p", "p1"), places.withColumnRenamed("p", "p2"), [key], ["x", "y", "z"], width, "p1", "p2").filter("p1 <> p2")
+        near = cut(pairs.groupBy("p1").agg(F.min("distance").alias("spacing")))
+        found = near if found is None else found.unionAll(near)
+        left = cut(left.join(near, F.col("p") == F.col("p1"), "left_anti"))
+        if not left.take(1):
+            break
+        width *= grow
+    return places.join(found, F.col("p") == F.col("p1")).select(key, F.col("p").alias(row), "spacing")
+
+
+def vehicle_frames(points: DataFrame, key: str, context: str, *, overhang: float, slice_m: float, trim: float) -> DataFrame:
+    """``key, heading, ox, oy, length, width, full_width, height``: a frame laid through each key's points on level ground.
+
+    Its axis is that of greatest spread, turned to where x rises; lengths are trimmed by exact percentiles, the width
+    is the median over slices along the axis that hold two points, and the origin lies ``overhang`` ahead of the rear end.
+    """
+    axis = long_axis(points, key).select(F.col(key).alias("_k"), "cx", "cy", "heading")
+    turned = points.join(axis, F.col(key) == F.col("_k")).withColumns({"ux": F.cos("heading"), "uy": F.sin("heading")})
+    st = turned.select(key, context, "heading", "cx", "cy", "z", ((F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy")).alias("s"), ((F.col("y") - F.col("cy")) * F.col("ux") - (F.col("x") - F.col("cx")) * F.col("uy")).alias("t"))
+    ends = exact_quantiles(st, [key], context, "s", {"rear": trim / 100, "front": 1 - trim / 100}).select(F.col(key).alias("_e"), "rear", "front")
+    tops = exact_quantiles(st, [key], context, "z", {"height": 1 - trim / 100}).select(F.col(key).alias("_h"), "height")
+    span = st.groupBy(F.col(key).alias("_w"), "heading", "cx", "cy").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    sliced = st.join(ends, F.col(key) == F.col("_e")).filter("s >= rear AND s < rear + ceil((front - rear) / {0}D) * {0}D".format(slice_m))
+    wide = sliced.groupBy(key, F.floor((F.col("s") - F.col("rear")) / slice_m).alias("i")).agg((F.max("t") - F.min("t")).alias("w"), F.count("*").alias("n")).filter("n >= 2").groupBy(F.col(key).alias("_s")).agg(F.median("w").alias("width"))
+    j = span.join(ends, F.expr("_w = _e")).join(tops, F.expr("_w = _h")).join(wide, F.expr("_w = _s"))
+    along, mid = F.col("rear") + overhang, (F.col("t0") + F.col("t1")) / 2
+    ox, oy = F.col("cx") + along * F.cos("heading") - mid * F.sin("heading"), F.col("cy") + along * F.sin("heading") + mid * F.cos("heading")
+    return j.select(F.col("_w").alias(key), "heading", ox.alias("ox"), oy.alias("oy"), F.expr("front - rear").alias("length"), "width", F.expr("t1 - t0").alias("full_width"), "height")
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def _hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, in order around it."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+    halves = []
+    for side in (points, points[::-1]):
+        chain: list[np.ndarray] = []
+        for p in side:
+            while len(chain) > 1 and _turn(chain[-2], chain[-1], p) <= 0:
+                chain.pop()
+            chain.append(p)
+        halves += chain[:-1]
+    return np.array(halves)
+
+
+def _corners(key: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
+        return pd.DataFrame({key: pdf[key].iloc[0], "x": hull[:, 0], "y": hull[:, 1]})
+
+    return run
+
+
+def _least_box(key: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
+        side = np.roll(hull, -1, axis=0) - hull
+        angles = np.unique(np.round(np.mod(np.arctan2(side[:, 1], side[:, 0]), np.pi / 2), 12)) if len(hull) > 1 else np.zeros(1)
+        best = None
+        for a in angles:
+            c, s = np.cos(a), np.sin(a)
+            u, v = hull @ np.array([c, s]), hull @ np.array([-s, c])
+            w, d, mu, mv = np.ptp(u), np.ptp(v), (u.min() + u.max()) / 2, (v.min() + v.max()) / 2
+            if best is None or w * d < best[0] - 1e-12:
+                best = (w * d, a, c * mu - s * mv, s * mu + c * mv, w, d)
+        return pd.DataFrame([(pdf[key].iloc[0], len(hull), *best)], columns=[key, "n_corners", "area", "angle", "x", "y", "along", "across"])
+
+    return run
+
+
+def enclosing_boxes(points: DataFrame, key: str, row: str, *, parts: int = 64) -> DataFrame:
+    """``key, n_corners, area, angle, x, y, along, across``: the rectangle of least area around each key's places in plan (``key``
+    a string, not null).  Hulls are taken of ``parts`` hash parts first, then of their corners: no task holds a key's places."""
+    ship_package(points.sparkSession)
+    there = points.filter(f"`{key}` IS NOT NULL AND abs(x) < 1e15D AND abs(y) < 1e15D").select(key, "x", "y", F.pmod(F.xxhash64(row), F.lit(parts)).alias("part"))
+    corners = there.groupBy(key, "part").applyInPandas(_corners(key), f"`{key}` string, x double, y double")
+    return corners.groupBy(key).applyInPandas(_least_box(key), f"`{key}` string, n_corners bigint, area double, angle double, x double, y double, along double, across double")

@@ -26,16 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: like :func:`cut`, for tables of which later steps read
-    some columns only."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext._jsc.sc()
     folder = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else spark.conf.get("spark.checkpoint.dir")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like :func:`cut`, for tables of which later steps read
+    some columns only."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a table counts as small.

@@ -164,6 +164,95 @@ def reprojection_error(points: DataFrame) -> DataFrame:
     return points.agg(F.try_divide(F.sum(F.col("error") * w), F.sum(w)).alias("error_px"), F.count("*").alias("n"))
 
 
+def write_sfm_model(cameras: DataFrame, images: DataFrame, points: DataFrame, folder: str) -> None:
+    """The three text tables of a model (``cameras``, ``images``, ``points3D``), each a folder of part files.
+
+    An image is one row of two lines, so no part file splits it.  Observations and tracks may be empty.
+    """
+    def line(*parts: Column) -> Column:
+        return F.concat_ws(" ", *[F.concat_ws(" ", F.transform(p, lambda x: x.cast("string"))) if kind == "array" else p.cast("string") for p, kind in parts])
+
+    plain = lambda c: (F.col(c), "value")
+    listed = lambda c: (F.col(c), "array")
+    cameras.select(line(plain("camera_id"), plain("model"), plain("width"), plain("height"), listed("params")).alias("value")).write.text(f"{folder}/cameras.txt")
+    seen = F.concat_ws(" ", F.transform("observations", lambda o: F.concat_ws(" ", o["x"].cast("string"), o["y"].cast("string"), o["point3D_id"].cast("string"))))
+    images.select(F.concat(line(plain("image_id"), listed("qvec"), listed("tvec"), plain("camera_id"), plain("name")), F.lit("\n"), seen).alias("value")).write.text(f"{folder}/images.txt")
+    track = F.concat_ws(" ", F.transform("track", lambda t: F.concat_ws(" ", t["image_id"].cast("string"), t["idx"].cast("string"))))
+    points.select(F.concat_ws(" ", line(plain("point3D_id"), listed("xyz"), listed("rgb"), plain("error")), F.when(track != "", track)).alias("value")).write.text(f"{folder}/points3D.txt")
+
+
+def read_sfm_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cameras, images and points of a model written as text."""
+    return read_sfm_cameras(spark, f"{folder}/cameras.txt"), read_sfm_images(spark, f"{folder}/images.txt"), read_sfm_points(spark, f"{folder}/points3D.txt")
+
+
+# Parameters of camera models, in order.
+CAMERA_MODELS = {"SIMPLE_PINHOLE": ["f", "cx", "cy"], "PINHOLE": ["fx", "fy", "cx", "cy"], "SIMPLE_RADIAL": ["f", "cx", "cy", "k"], "RADIAL": ["f", "cx", "cy", "k1", "k2"], "OPENCV": ["fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"]}
+
+
+def camera_parameters(model: Column, params: Column) -> dict[str, Column]:
+    """``fx, fy, cx, cy, k1, k2, p1, p2`` of a camera by its model; distortion that a model lacks is 0; all null for an
+    unknown model or a wrong number of parameters."""
+    out = {n: F.lit(None).cast("double") for n in ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2")}
+    for name, given in CAMERA_MODELS.items():
+        fits = (model == name) & (F.size(params) == len(given))
+        for n in out:
+            source = next((g for g in (n, "f" if n in ("fx", "fy") else n, "k" if n == "k1" else n) if g in given), None)
+            out[n] = F.when(fits, F.get(params, F.lit(given.index(source))) if source else F.lit(0.0)).otherwise(out[n])
+    return out
+
+
+# Documents and frame indexes
+def write_json(df: DataFrame, path: str) -> None:
+    """One row as one JSON document with sorted keys (one part file); more rows are an error."""
+    one = df.select(*sorted(df.columns)).agg(F.count("*").alias("n"), F.first(F.struct(*sorted(df.columns))).alias("r"))
+    checked = F.when(F.col("n") == 1, F.to_json("r", {"pretty": "true", "ignoreNullFields": "false"})).otherwise(F.raise_error(F.lit("a document is one row")).cast("string"))
+    one.select(checked.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One JSON document over several lines, as one row; a broken one is an error."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def read_frames_index(spark: SparkSession, path: str) -> DataFrame:
+    """``file, t_ns, frame_index`` of a frame index as JSON lines, in order of time; a frame without a time, or two at one
+    time, is an error."""
+    rows = read_jsonl(spark, path, "file string, t_ns bigint, frame_index bigint")
+    n = F.expr("count(*) OVER (PARTITION BY t_ns)")
+    fault = F.when(F.col("t_ns").isNull(), "frame without a time").when(n > 1, "two frames at one time")
+    return rows.withColumn("t_ns", F.when(fault.isNull(), F.col("t_ns")).otherwise(F.raise_error(fault).cast("bigint"))).orderBy("t_ns")
+
+
+def write_gold_points(points: DataFrame, path: str) -> None:
+    """Lines ``x y z label``."""
+    points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x", "y", "z")], F.col("label").cast("int").cast("string"))).write.mode("overwrite").text(path)
+
+
+def pixels_of_raster(rows: DataFrame, raster: str, keep: list[str]) -> DataFrame:
+    """``keep..., row, col, value``: pixels of rasters stored as ``width&height&channels&`` and float32 values, column by
+    column (one raster a row; a null or short one is an error of that row, told by a null ``row``)."""
+    head = F.split(F.decode(F.substring(raster, 1, 64), "ISO-8859-1"), "&")
+    w, h = (F.get(head, F.lit(i)).try_cast("int") for i in (0, 1))
+    start = sum((F.length(F.get(head, F.lit(i))) + 1 for i in (1, 2)), F.length(F.get(head, F.lit(0))) + 1)
+    n = rows.select(*keep, w.alias("_w"), h.alias("_h"), F.hex(raster).alias("_hex"), start.alias("_start"))
+    whole = F.length("_hex") >= 2 * (F.col("_start") + 4 * F.col("_w") * F.col("_h"))
+    at = F.explode_outer(F.when(whole & (F.col("_w") > 0) & (F.col("_h") > 0), F.sequence(F.lit(0), F.col("_w") * F.col("_h") - 1)))
+    each = n.select(*keep, "_w", "_h", "_hex", "_start", at.alias("_i"))
+    byte = lambda k: F.conv(F.substring("_hex", 2 * (F.col("_start") + 4 * F.col("_i") + k) + 1, F.lit(2)), 16, 10).cast("bigint")
+    bits = byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
+    return each.withColumn("_bits", bits).select(*keep, (F.floor(F.col("_i") / F.col("_w"))).cast("int").alias("row"), (F.col("_i") % F.col("_w")).cast("int").alias("col"), float32(F.col("_bits")).alias("value"))
+
+
+def float32(bits: Column) -> Column:
+    """The number of a float32's bits; infinite or not a number where all bits of its exponent are set."""
+    sign = F.when(bits >= 2147483648, -1.0).otherwise(1.0)
+    exponent, fraction = F.floor(bits / 8388608) % 256, bits % 8388608
+    special = F.when(fraction == 0, sign * float("inf")).otherwise(F.lit(float("nan")))
+    normal = sign * (1 + fraction / 8388608) * F.pow(F.lit(2.0), exponent - 127)
+    return F.when(exponent == 255, special).when(exponent == 0, sign * fraction * F.lit(2.0**-149)).otherwise(normal)
+
+
 # Manifests and registries
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``table`` with ``rows`` in place of those of the same key, or added."""
@@ -188,6 +277,13 @@ def license_class(name: Column, status: Column) -> Column:
     return F.when(status == "clear", F.coalesce(known, F.lit("unverified"))).otherwise(status)
 
 
+def required_use(kind: Column, provenance: Column, use: str, name: Column) -> Column:
+    """``name`` where the use is allowed; an error that says so where it isn't.  An unknown use is an error at once."""
+    if use not in USES["permissive"]:
+        raise ValueError(f"unknown use {use!r}")
+    return F.when(F.array_contains(allowed_uses(kind, provenance), use), name).otherwise(F.raise_error(F.concat(name, F.lit(f": {use} is not allowed"))).cast("string"))
+
+
 def allowed_uses(kind: Column, provenance: Column) -> Column:
     table = F.create_map(*[x for k, v in USES.items() for x in (F.lit(k), F.array(*[F.lit(u) for u in v]).cast("array<string>"))])
     uses = F.coalesce(F.try_element_at(table, kind), F.array().cast("array<string>"))
