@@ -196,3 +196,17 @@ def test_uses_are_required(spark):
         df.select(use.alias("x")).collect()
     with pytest.raises(ValueError):
         formats.required_use(F.col("kind"), F.lit(""), "sell", F.col("name"))
+
+
+def test_enclosing_boxes(spark):
+    rng = random.Random(7)
+    a = 0.4
+    turned = [(math.cos(a) * x - math.sin(a) * y + 3, math.sin(a) * x + math.cos(a) * y) for x, y in [(0, 0), (4, 0), (4, 2), (0, 2)] + [(rng.uniform(0, 4), rng.uniform(0, 2)) for _ in range(200)]]
+    rows = [("r", i, *p) for i, p in enumerate(turned)] + [("line", 900, 0.0, 0.0), ("line", 901, 3.0, 4.0), ("dot", 902, 1.0, 1.0), ("dot", 903, 1.0, 1.0), (None, 904, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, row int, x double, y double")
+    for parts in (1, 16):
+        got = {r["k"]: r for r in clouds.enclosing_boxes(df, "k", "row", parts=parts).collect()}
+        assert set(got) == {"r", "line", "dot"} and got["r"]["n_corners"] == 4
+        centre = (math.cos(a) * 2 - math.sin(a) * 1 + 3, math.sin(a) * 2 + math.cos(a) * 1)
+        assert (got["r"]["area"], got["r"]["x"], got["r"]["y"]) == pytest.approx((8.0, *centre))
+        assert got["line"]["area"] == pytest.approx(0) and max(got["line"]["along"], got["line"]["across"]) == pytest.approx(5) and got["dot"]["area"] == 0

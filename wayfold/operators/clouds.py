@@ -157,7 +157,7 @@ def _least_box(key: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hull = _hull(pdf[["x", "y"]].to_numpy(dtype=float))
         side = np.roll(hull, -1, axis=0) - hull
-        angles = np.unique(np.round(np.mod(np.arctan2(side[:, 1], side[:, 0]), np.pi / 2), 12)) if len(hull) > 1 else np.zeros(1)
+        angles = np.unique(np.mod(np.arctan2(side[:, 1], side[:, 0]), np.pi / 2)) if len(hull) > 1 else np.zeros(1)
         best = None
         for a in angles:
             c, s = np.cos(a), np.sin(a)
