@@ -100,3 +100,17 @@ def test_lags_are_sought_as_far_as_the_rig_states(spark, tmp_path):
     got = {r["pass_id"]: (r["lag"], r["lag_s"]) for r in Q["clock_lags"](spark, str(tmp_path)).collect()}
     assert got["a"] == (20, pytest.approx(4.0, abs=0.1)) and got["c"] == (10, pytest.approx(4.0, abs=0.2))
     assert "b" not in got or abs(got["b"][0]) <= 5
+
+
+def test_masks_beside_boxes_in_the_plane_of_the_camera(spark, tmp_path):
+    """The pixels of a box next to the camera's own plane go beyond any integer; it is dropped and the others keep their masks."""
+    from wayfold.plans.detections import C, N, UP
+
+    ahead = [[8.0, 0.5, 0.5], [9.0, 0.5, 0.5], [8.5, -1.0, 0.5]]
+    beside = [N * (z - 0.5 - UP) / C + 0.5 + off for z, off in ((0.5, 1e-9), (3.0, -1e-9))]
+    rows = [(i, "p", "r", (i + 1) * TICK, 1 if i < 2 else 2, "person", at, [1.0] * 3, None, None, "detector") for i, at in enumerate(ahead)]
+    save(spark, tmp_path / "a", "obstacles", rows, OBSTACLE)
+    rows += [(i + 3, "p", "r", (i + 4) * TICK, 1, "person", [x, 0.5, z], [1.0] * 3, None, None, "detector") for i, (x, z) in enumerate(zip(beside, (0.5, 3.0)))]
+    save(spark, tmp_path / "b", "obstacles", rows, OBSTACLE)
+    want, got = (sorted(map(tuple, Q["mask_obstacles"](spark, str(tmp_path / x)).collect())) for x in "ab")
+    assert [r[:2] for r in want] == [("p", 1), ("p", 2)] and got == want
