@@ -74,6 +74,18 @@ def test_flags_of_nothing_and_of_nulls(spark):
         assert flag_rows(spark.createDataFrame(rows, SCHEMA), "row", "rig", ["pass"], "t", M).collect() == []
 
 
+def test_a_reading_repeated_with_another_field_counts_once(spark):
+    """Three equal speeds, each in two rows of different yaw rates, are three readings and no run of six; six of them are one.
+    The series of two rigs of one pass stand apart."""
+    two = [Measure("v", ["v"], still=lambda v: v == 0), Measure("w", ["w"], still=lambda w: w == 0)]
+    rows = lambda n, rig, at: [(at + 2 * i + j, rig, "p", at + i, 1.5, [0.1 * (at + i) + 0.01, None][j]) for i in range(n) for j in (0, 1)]
+    given = rows(3, "r", 0) + rows(6, "r2", 100) + rows(5, "r3", 200) + rows(5, "r4", 205)
+    df = spark.createDataFrame(given, "row bigint, rig string, pass string, t bigint, v double, w double")
+    for block in (10**12, 2):
+        got = sorted((r["row"], r["field"], r["frozen"]) for r in flag_rows(df, "row", "rig", ["pass"], "t", two, block=block).collect())
+        assert got == [(100 + i, "v", True) for i in range(12)]
+
+
 def test_neighbours_cross_empty_blocks(spark):
     df = spark.createDataFrame([("k", t, float(t) if t % 3 == 0 else None) for t in range(0, 40, 2)], "k string, t bigint, v double")
     got = {r["t"]: (r["v__prev"], r["v__next"]) for r in neighbours(with_block(df, "t", 4), ["k"], "t", {"v": 2}).collect()}
